@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, simhash, token_counts
+from . import bpe, packing, quality_rules, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_packing": packing.op2_packing,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op9_bpe": bpe.op9_bpe,
 }
 
