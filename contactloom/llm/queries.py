@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality_rules, simhash, token_counts
+from . import bpe, chat_format, embedding_dedup, html_extract, language_id, packing, quality_classifier, quality_rules, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_packing": packing.op2_packing,
+    "op3_chat_format": chat_format.op3_chat_format,
+    "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_language_id": language_id.op7_language_id,
+    "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_bpe": bpe.op9_bpe,
+    "op10_html_extract": html_extract.op10_html_extract,
 }
 
 #: None of the ten has DuckDB SQL: each needs XXH64, a tokenizer, a trained model or an HTML parser.
