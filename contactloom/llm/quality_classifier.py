@@ -107,8 +107,9 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, rate: float = 0.02, decay: float = 2e-5, seed: int = 0) -> Machine:
-    """Adam on logistic loss with weight decay; deterministic for equal input."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, steps: int = 500, rate: float = 0.02, decay: float = 2e-5, seed: int = 0) -> Machine:
+    """Adam on logistic loss with weight decay, for ``epochs`` passes and ``steps`` batches at least;
+    deterministic for equal input."""
     rng = np.random.default_rng(seed)
     stats = np.array([r[2] for r in rows]) if rows else np.zeros((0, STATS))
     mean = stats.mean(axis=0) if rows else np.zeros(STATS)
@@ -122,7 +123,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarra
     m = [np.zeros(1), np.zeros(size), np.zeros((size, RANK))]
     s, step = [np.zeros_like(x) for x in m], 0
     dense = machine.dense(stats)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps * 64 // len(rows)))):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 64):
             own = order[at : at + 64]
