@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..fields import SHAPE_LENGTH
 from ..headers import hints
-from .values import trim
 
 # Social hosts and the paths of profiles there.
 SOCIAL_SHAPES = (
@@ -63,23 +62,36 @@ def shape_of(header: str, value: object, region: str = "US") -> str | None:
     return None
 
 
-def shape_column(header: str, c: Column, region: str | None = "US") -> Column:
-    """The canonical field that a value's shape names, or null.  Header hints are settled now; the
-    phone guard parses only values that pass the pattern."""
-    text, hinted = trim(c.cast("string")), hints(header)
-    fits = (F.length(text) > 0) & (F.length(text) <= SHAPE_LENGTH)
-    chain = F.lit(None).cast("string")
-    for field, guard, pattern in reversed(SHAPES):
-        test = text.rlike(pattern)
-        if guard == "birthday" and "birthday" not in hinted:
+def reachable(header: str) -> list[str]:
+    """Fields that a value under this header can be taken for."""
+    return [f for f in SHAPE_FIELDS if f != "birthday" or "birthday" in hints(header)]
+
+
+def phone_candidate(header: str, text: Column) -> Column:
+    """The stripped value where a phone pattern and the header allow a number, for the parser."""
+    test = F.lit(False)
+    for _, guard, pattern in SHAPES:
+        if guard == "phone":
+            test = test | text.rlike(pattern)
+    if "phone" not in hints(header):
+        test = test & ~text.rlike(r"^\d+$")
+    return F.when(test & F.length(text).between(1, SHAPE_LENGTH), text)
+
+
+def shape_column(header: str, text: Column, phone: Column) -> Column:
+    """The canonical field that the shape of a stripped value names, or null.  Header hints are
+    settled now; ``phone`` is what the parser made of :func:`phone_candidate`."""
+    hinted, chain, done = hints(header), None, False
+    for field, guard, pattern in SHAPES:
+        if guard == "phone":
+            if done:
+                continue
+            test, done = phone.isNotNull(), True
+        elif guard == "birthday" and "birthday" not in hinted:
             continue
+        else:
+            test = text.rlike(pattern)
         if guard == "postal" and "postal" not in hinted:
             test = test & ~text.rlike(r"^\d{5}$")
-        if guard == "phone":
-            from .phones import e164
-
-            if "phone" not in hinted:
-                test = test & ~text.rlike(r"^\d+$")
-            test = test & e164(F.when(test & fits, text), region).isNotNull()
-        chain = F.when(F.coalesce(test, F.lit(False)), field).otherwise(chain)
-    return F.when(fits, chain)
+        chain = F.when(test, field) if chain is None else chain.when(test, field)
+    return F.when(F.length(text).between(1, SHAPE_LENGTH), chain)
