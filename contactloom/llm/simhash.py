@@ -52,7 +52,7 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
         lanes = np.add.reduceat((hashes >> np.uint64(k)) & _LANES, starts)
         counts[k] = lanes.view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
     on = 2 * counts > len(hashes)
-    return sum(1 << (8 * byte + k) for k, byte in zip(*np.nonzero(on), strict=True))
+    return int.from_bytes(np.packbits(on, axis=0, bitorder="little").tobytes(), "little")
 
 
 def fingerprint_column(text: Column, shingle: int = 4) -> Column:
@@ -110,7 +110,7 @@ def within_budgets(start: Column, a: Column, b: Column, max_bits: int) -> Column
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+    return np.bitwise_count(x.view(np.uint64))  # of signed numbers it would count the absolute value's
 
 
 def block_forest(left: np.ndarray, right: np.ndarray | None, max_bits: int) -> list[tuple[int, int]]:
