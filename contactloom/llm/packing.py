@@ -1,8 +1,8 @@
 """Best-fit packing by minimum bin slack over the histogram of piece lengths.
 
 A document is its token ids and an end token.  Only documents longer than a sequence are cut, from
-the back, so all their pieces but the first fill a sequence.  For each bin, subset sums over the
-lengths still available (a bitset: bit s of a Python integer says that s tokens can be filled) find
+the back, so all their pieces but the first fill a sequence.  Each bin starts from the longest piece
+left; subset sums over the lengths still available (a bitset: bit s of a Python integer says that s tokens can be filled) find
 the fullest feasible combination, which is removed.  Equal lengths are interchangeable, so the
 search runs on counts by length, at most ``capacity`` of them whatever the corpus: a combination is
 taken as often as its lengths last, and the plan is a table of at most a few thousand rows.  Pieces
@@ -120,12 +120,21 @@ def fullest(lengths: list[int], counts: dict[int, int], capacity: int) -> list[t
 
 
 def minimum_bin_slack(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """[(bins, [(length, times in each bin)])] that use up the histogram."""
+    """[(bins, [(length, times in each bin)])] that use up the histogram.
+
+    Each bin holds the longest piece left, as every packing must somewhere, and the fullest
+    combination of what else is available.
+    """
     counts = {n: c for n, c in histogram.items() if c > 0}
     plan = []
     while counts:
-        lengths = sorted(counts, reverse=True)
-        combination = fullest(lengths, counts, capacity)
+        longest = max(counts)
+        counts[longest] -= 1
+        others = sorted((n for n, c in counts.items() if c and n <= capacity - longest), reverse=True)
+        times_of = dict(fullest(others, counts, capacity - longest)) if others else {}
+        counts[longest] += 1
+        times_of[longest] = times_of.get(longest, 0) + 1
+        combination = sorted(times_of.items(), reverse=True)
         bins = min(counts[n] // times for n, times in combination)
         for n, times in combination:
             counts[n] -= bins * times
