@@ -112,13 +112,12 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str, limit: int = 2048
     texts = rows.join(chosen, (F.col("content") == F.col("digest")) & F.col("id").eqNullSafe(F.col("chosen")), "left_semi").select("content", "text")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = counter(vocabulary)
+        count, seen = counter(vocabulary), set()  # rows that are equal in id and content meet in one partition
         for batch in batches:
-            done: dict[str, int] = {}
-            for content, own in zip(batch["content"], batch["text"], strict=True):
-                if content not in done:
-                    done[content] = count(own)
-            yield pd.DataFrame({"content": batch["content"], "tokenizer": version, "n_tokens": [done[c] for c in batch["content"]]})
+            fresh = batch.drop_duplicates("content")
+            fresh = fresh[~fresh["content"].isin(seen)]
+            seen.update(fresh["content"])
+            yield pd.DataFrame({"content": fresh["content"], "tokenizer": version, "n_tokens": [count(t) for t in fresh["text"]]})
 
     texts.mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
