@@ -238,12 +238,18 @@ class ContactMapper:
         strict = options.pop("strict", False)
         if headers is None:
             headers = json_headers(df, column, depth)
-        parsed = df.withColumn("_doc", F.try_parse_json(F.col(_quote(column))))
-        cells = []
+        # Each object is parsed once, to a map of its values' texts; nested ones from their text.
+        parsed = df.withColumn("_doc", F.from_json(F.col(_quote(column)), "map<string,string>"))
+        opened, cells = {"": "_doc"}, []
         for h in headers:
-            path = "$" + "".join(f"['{part}']" for part in (h.split(".") if depth > 1 else [h]))
-            text = F.get_json_object(F.col(_quote(column)), path)
-            cells.append(Cell(h, text, "string", F.try_variant_get("_doc", path, "variant").isNotNull(), self.resolver.of_header(h)))
+            parts = h.split(".") if depth > 1 else [h]
+            for n in range(1, len(parts)):
+                path, above = ".".join(parts[:n]), ".".join(parts[: n - 1])
+                if path not in opened:
+                    opened[path] = f"_doc{len(opened)}"
+                    parsed = parsed.withColumn(opened[path], F.from_json(F.col(opened[above])[parts[n - 1]], "map<string,string>"))
+            doc = F.col(opened[".".join(parts[:-1])])
+            cells.append(Cell(h, doc[parts[-1]], "string", F.coalesce(F.map_contains_key(doc, parts[-1]), F.lit(False)), self.resolver.of_header(h)))
         result = self._build(
             parsed, cells, keep, options.pop("normalize", True), options.pop("default_region", None), options.pop("confidence_threshold", None), options.pop("extract_embedded_phones", False)
         )
@@ -485,11 +491,12 @@ def json_headers(df: DataFrame, column: str, depth: int = 1, most: int = 10_000)
     found: list[str] = []
     level = df.select(F.lit("").alias("path"), F.col(_quote(column)).alias("doc"))
     for n in range(max(1, min(MAX_DEPTH, depth))):
+        deeper = n + 1 < min(MAX_DEPTH, depth)
         keyed = level.select("path", "doc", F.posexplode(F.json_object_keys("doc")).alias("pos", "key"))
-        rows = keyed.groupBy("path", "key").agg(F.min("pos").alias("pos"), F.max(F.when(F.json_object_keys(_at("doc", "key")).isNotNull(), 1).otherwise(0)).alias("nested")).orderBy("pos", "path", "key").limit(most).collect()
-        deeper = n + 1 < depth
-        found += [f"{r['path']}{r['key']}" for r in rows if not (deeper and r["nested"])]
-        if not deeper or not any(r["nested"] for r in rows):
+        nested = F.max(F.json_object_keys(_at("doc", "key")).isNotNull()) if deeper else F.lit(False)
+        rows = keyed.groupBy("path", "key").agg(F.min("pos").alias("pos"), nested.alias("nested")).orderBy("pos", "path", "key").limit(most).collect()
+        found += [f"{r['path']}{r['key']}" for r in rows if not r["nested"]]
+        if not any(r["nested"] for r in rows):
             break
         level = keyed.select(F.concat("path", "key", F.lit(".")).alias("path"), _at("doc", "key").alias("doc")).where("doc is not null")
     return list(dict.fromkeys(found))
