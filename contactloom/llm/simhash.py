@@ -201,18 +201,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 4, shingle: int = 4) -> DataFrame:
-    """The rows of ``docs`` that stay when one row of each component is kept: that of its smallest
-    id (of rows with the same id and fingerprint, any one).  Components without any id keep one row."""
-    fp, key = free_name(docs, "fp"), free_name(docs, "key")
-    marked = persist(docs.withColumn(fp, fingerprint_column(quoted(text_col), shingle)), "simhash-docs")
-    lowest = marked.groupBy(F.col(fp).alias("fp")).agg(F.min(quoted(id_col)).alias("id"))
+    """The rows of ``docs`` that stay when one row of each component is kept: one with its smallest
+    id, or any where no row has an id.  Columns are as they were."""
+    fp, row = free_name(docs, "fp"), free_name(docs, "row")
+    marked = docs.withColumn(fp, fingerprint_column(quoted(text_col), shingle)).withColumn(row, F.monotonically_increasing_id())
+    marked = persist(marked, "simhash-docs")  # from here on the row numbers stand
+    first = F.min(F.struct(quoted(id_col).isNull().alias("none"), quoted(id_col).alias("id"), F.col(row).alias("row"))).alias("x")
+    lowest = marked.groupBy(F.col(fp).alias("fp")).agg(first)
     roots = fingerprint_components(lowest.select("fp"), max_bits)
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("x")
-    kept = lowest.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(first)
-    kept = kept.select(F.col("x.id").alias(key), F.col("x.fp").alias(fp))
-    same = marked[fp].eqNullSafe(kept[fp]) & marked[id_col].eqNullSafe(kept[key])
-    stay = marked.join(kept, same, "left_semi")
-    return stay.dropDuplicates([id_col, fp]).select(*(quoted(c) for c in docs.columns))
+    kept = lowest.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("x").alias("x"))
+    stay = marked.join(kept.select(F.col("x.row").alias(row)), row, "left_semi")
+    return stay.select(*(quoted(c) for c in docs.columns))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
