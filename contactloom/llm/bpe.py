@@ -13,6 +13,7 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import quoted, table
 
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_000_000
 #: The pre-tokenizer's split; ``\\s`` is spelt out because libraries differ on control characters.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -39,6 +40,23 @@ def byte_chars() -> list[str]:
     return out
 
 
+class _Memo(dict):
+    """word -> its packed ids, merged when first asked for; emptied when full, very long words kept out."""
+
+    def __init__(self, bpe: ByteBpe):
+        super().__init__()
+        self._merge = bpe.merge
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self._merge(word.encode("utf-8"))
+        made = pack(f"<{len(ids)}I", *ids)
+        if len(word) <= 64:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = made
+        return made
+
+
 class ByteBpe:
     """One byte-level BPE vocabulary with its added tokens."""
 
@@ -52,11 +70,15 @@ class ByteBpe:
         byte_of = {c: b for b, c in enumerate(byte_chars())}
         self.bytes_of: dict[int, bytes] = {i: bytes(byte_of[c] for c in token) for token, i in vocab.items()}
         self.start = [vocab[c] for c in byte_chars()]
-        #: left id << 32 | right id -> rank << 32 | merged id
-        self.merges: dict[int, int] = {}
+        #: left id << 32 | right id -> rank, and by rank that pair and the id it becomes.
+        self.ranks: dict[int, int] = {}
+        self.pair_of, self.id_of = [], []
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[left] << 32 | vocab[right]] = rank << 32 | vocab[left + right]
+            key = vocab[left] << 32 | vocab[right]
+            self.ranks[key] = rank
+            self.pair_of.append(key)
+            self.id_of.append(vocab[left + right])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for t in spec["added_tokens"]:
             if t["single_word"] or t["lstrip"] or t["rstrip"]:
@@ -65,66 +87,53 @@ class ByteBpe:
         longest_first = sorted(self.added, key=len, reverse=True)
         self._added = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
         self._words = regex.compile(SPLIT).findall
-        self._memo: dict[str, tuple[int, ...]] = {}
+        self._memo = _Memo(self)
+
+    def merge(self, word: bytes) -> list[int]:
+        """Ids of one word.
 
-    def merge(self, word: bytes) -> tuple[int, ...]:
-        """Ids of one word."""
+        A queue entry is rank << 32 | place of the left symbol.  It is stale, and skipped, where the
+        symbols that now stand there are not the pair of its rank.
+        """
         ids = [self.start[b] for b in word]
         n = len(ids)
-        if n == 1:
-            return (ids[0],)
-        merges = self.merges.get
+        ranks, pair_of, id_of = self.ranks, self.pair_of, self.id_of
+        queue = [ranks[pair] << 32 | at for at in range(n - 1) if (pair := ids[at] << 32 | ids[at + 1]) in ranks]
+        if not queue:
+            return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        # An entry is rank, place of the left symbol, the pair and the merged id it was made for.
-        queue = []
-        for at in range(n - 1):
-            pair = ids[at] << 32 | ids[at + 1]
-            if (found := merges(pair)) is not None:
-                queue.append((found >> 32, at, pair, found & 0xFFFFFFFF))
         heapq.heapify(queue)
         pop, push = heapq.heappop, heapq.heappush
         while queue:
-            _, at, pair, new = pop(queue)
+            entry = pop(queue)
+            at, rank = entry & 0xFFFFFFFF, entry >> 32
             right = after[at]
-            if right >= n or ids[at] < 0 or ids[at] << 32 | ids[right] != pair:
-                continue  # stale: one of its symbols has been merged since
-            ids[at], ids[right] = new, -1
+            if right >= n or ids[at] < 0 or ids[at] << 32 | ids[right] != pair_of[rank]:
+                continue
+            ids[at] = new = id_of[rank]
+            ids[right] = -1
             after[at] = end = after[right]
             if end < n:
                 before[end] = at
-                pair = new << 32 | ids[end]
-                if (found := merges(pair)) is not None:
-                    push(queue, (found >> 32, at, pair, found & 0xFFFFFFFF))
-            if (first := before[at]) >= 0:
-                pair = ids[first] << 32 | new
-                if (found := merges(pair)) is not None:
-                    push(queue, (found >> 32, first, pair, found & 0xFFFFFFFF))
-        return tuple(i for i in ids if i >= 0)
-
-    def _encode_plain(self, text: str, out: list[int]) -> None:
-        memo, extend = self._memo, out.extend
-        for word in self._words(text):
-            ids = memo.get(word)
-            if ids is None:
-                ids = self.merge(word.encode("utf-8"))
-                if len(memo) >= MEMO_WORDS:
-                    memo.clear()
-                if len(word) <= 64:
-                    memo[word] = ids
-            extend(ids)
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text; strings of added tokens inside it become those tokens."""
-        out: list[int] = []
+                if (pair := new << 32 | ids[end]) in ranks:
+                    push(queue, ranks[pair] << 32 | at)
+            if (first := before[at]) >= 0 and (pair := ids[first] << 32 | new) in ranks:
+                push(queue, ranks[pair] << 32 | first)
+        return [i for i in ids if i >= 0]
+
+    def packed(self, text: str) -> bytes:
+        """Ids of a whole text as little-endian unsigned 32-bit integers; strings of added tokens
+        inside it become those tokens."""
         if self._added is None or not any(t in text for t in self.added):
-            self._encode_plain(text, out)
-            return out
+            return b"".join(map(self._memo.__getitem__, self._words(text)))
+        out = []
         for k, part in enumerate(self._added.split(text)):
-            if k % 2:
-                out.append(self.added[part])
-            elif part:
-                self._encode_plain(part, out)
-        return out
+            out += [pack("<I", self.added[part])] if k % 2 else map(self._memo.__getitem__, self._words(part))
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a whole text."""
+        return np.frombuffer(self.packed(text), dtype="<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Concatenated vocabulary strings, special tokens included; broken UTF-8 becomes U+FFFD."""
@@ -147,9 +156,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
         for batch in batches:
             rows = []
             for text in batch["text"]:
-                ids = bpe.encode(text or "")
-                decoded = b"".join(map(bpe.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
-                digest = hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
+                packed = bpe.packed(text or "")
+                ids = np.frombuffer(packed, dtype="<u4").tolist()
+                decoded = bpe.decode(ids)
+                digest = hashlib.sha256(packed).hexdigest()
                 rows.append((len(ids), digest, hashlib.sha256(decoded.encode("utf-8")).hexdigest(), *((ids, decoded) if keep else ())))
             names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep else [])]
             made = pd.DataFrame(rows, columns=names)
