@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .aliases import VERSION
-from .fields import NORMALIZED, UNKNOWN, CanonicalField, ContactError
+from .fields import UNKNOWN, CanonicalField, ContactError
 from .operators.dedupe import dedupe
-from .operators.mapper import ContactMapper, profile_counts, profile_results
+from .operators.mapper import ContactMapper, profile_results
+from .operators.reports import explain_profile, profile_dict, run_stats
 from .plans.mapping import MappingPlan
 from .session import ship
 from .sources.readers import JSON_BYTES, detect_format, looks_headerless, read_rows
@@ -101,7 +102,7 @@ def run_map(args: argparse.Namespace) -> int:
             raise ContactError(f"row {first[0]['row']}: {first[0]['error']}")
         rejects = rejects.union(bad)
         results = results.where(F.size("warnings") == 0)
-    matches = results.select(F.explode("field_matches").alias("m")).select("m.*").groupBy("original", "canonical", "confidence").count().collect()
+    verdicts = run_stats(results).orderBy("header").collect()
     total = results.count()
     if args.dedupe:
         results = dedupe(results, "identity_keys", "_row_number")
@@ -114,10 +115,10 @@ def run_map(args: argparse.Namespace) -> int:
     kept = results.count() if args.dedupe else total
     failed = write_quarantine(rejects, quarantine) if args.on_error == "quarantine" else rejects.count()
     if args.schema_out:
-        seen = headers if in_fmt == "csv" else list(dict.fromkeys(m["original"] for m in matches))
+        seen = headers if in_fmt == "csv" else list(dict.fromkeys(v["header"] for v in verdicts))
         mapper.compile_plan(seen, default_region=region).save(args.schema_out)
-    dropped = [(m["original"], m["count"]) for m in matches if m["canonical"] == UNKNOWN]
-    low = [(f"{m['original']} -> {m['canonical']}", m["count"]) for m in matches if m["canonical"] != UNKNOWN and m["confidence"] < NORMALIZED]
+    dropped = [(v["header"], v["rows"]) for v in verdicts if v["dropped"]]
+    low = [(f"{v['header']} -> {v['canonical']}", v["rows"]) for v in verdicts if v["low"]]
     if dropped and not args.keep_unmapped:
         _say(summary("Dropped", dropped))
     if low:
@@ -133,15 +134,8 @@ def run_profile(args: argparse.Namespace) -> int:
     if args.max_rows:
         rows = rows.orderBy("_row_number").limit(args.max_rows)
     results = _mapped(mapper, fmt, rows, normalize=not args.no_normalize, extract_embedded_phones=args.embedded_phones)
-    r = profile_results(results).first().asDict()
-    if args.json:
-        print(json.dumps(r | {"match_rate": round(r["match_rate"], 4)}, indent=2, ensure_ascii=False))
-        return OK
-    print(f"rows: {r['rows_seen']}\nfields: {r['fields_seen']}\nmatched: {r['matched']}\nunmatched: {r['unmatched']}\nmatch rate: {r['match_rate']:.2%}\nwarnings: {r['warning_count']}")
-    for kind in ("canonical", "unmapped", "strategy", "warning"):
-        counts = r[f"{kind}_counts"] or {}
-        if counts:
-            print(f"{kind}:\n" + "\n".join(f"  {name}: {n}" for name, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))))
+    row = profile_results(results).first()
+    print(json.dumps(profile_dict(row), indent=2, ensure_ascii=False) if args.json else explain_profile(row))
     return OK
 
 

@@ -6,10 +6,11 @@ for unknown headers, merged values, warnings, match rate, identity keys.  Neithe
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -265,19 +266,26 @@ class ContactMapper:
     def _build(self, df: DataFrame, cells: list[Cell], keep: Sequence[str], normalize: bool, region: str | None, threshold: float | None, embedded: bool) -> DataFrame:
         """Result rows in steps, each of which names what the next one uses more than once."""
         region, floor = region or self.default_region, self._threshold(threshold)
-        shapes = any(isinstance(s, ShapeStrategy) for s in self.resolver.strategies)
+        valued = [s for s in self.resolver.strategies if not s.header_only]
+        custom = any(not isinstance(s, ShapeStrategy) for s in valued)
+        more = tuple(dict.fromkeys(f for s in valued for f in s.fields))
         kept = [F.col(_quote(k)) for k in keep]
         static = {k: c.match.canonical for k, c in enumerate(cells) if c.match is not None and c.match.confidence >= floor}
-        asked = [k for k, c in enumerate(cells) if c.match is None and shapes and c.kind in ("string", "scalar")]
+        asked = [k for k, c in enumerate(cells) if c.match is None and valued and c.kind in ("string", "scalar")]
         wide = [c.value.alias(f"_c{k}") for k, c in enumerate(cells)] + [c.present.alias(f"_p{k}") for k, c in enumerate(cells) if c.present is not None]
         step = df.select(*kept, *wide)
         step = step.select("*", *(trim(F.col(f"_c{k}")).alias(f"_t{k}") for k in asked))
         step = step.select("*", *(phone_candidate(cells[k].header, F.col(f"_t{k}")).alias(f"_g{k}") for k in asked))
         step = step.select("*", *(e164(F.col(f"_g{k}"), region).alias(f"_h{k}") for k in asked))
-        step = step.select("*", *(shape_column(cells[k].header, F.col(f"_t{k}"), F.col(f"_h{k}")).alias(f"_s{k}") for k in asked))
+        if custom:
+            step = step.select("*", *(_by_strategies(valued, cells[k].header, F.col(f"_c{k}"), region).alias(f"_u{k}") for k in asked))
+            passed = [F.when(F.col(f"_u{k}.confidence") >= floor, F.col(f"_u{k}.canonical")).alias(f"_s{k}") for k in asked]
+        else:
+            passed = [shape_column(cells[k].header, F.col(f"_t{k}"), F.col(f"_h{k}")).alias(f"_s{k}") for k in asked]
+        step = step.select("*", *passed)
         values = [self._value(cells[k], F.col(f"_c{k}"), f, normalize, region).alias(f"_v{k}") for k, f in static.items()]
-        if floor <= SHAPE:
-            values += [self._shaped_value(cells[k], k, normalize).alias(f"_v{k}") for k in asked]
+        if custom or floor <= SHAPE:
+            values += [self._shaped_value(cells[k], k, normalize, more, region).alias(f"_v{k}") for k in asked]
         step = step.select("*", *values)
 
         matches, unmapped, warnings, entries, texts = [], [], [], [], []
@@ -292,10 +300,11 @@ class ContactMapper:
                 warnings += [] if w is None else [F.when(there, w)]
                 if cell.kind == "string" and static[k] not in (*PHONE_FIELDS, *LIST_FIELDS):
                     texts.append((1, static[k], F.get(F.col(f"_v{k}"), F.lit(0))))
-            elif k in asked and floor <= SHAPE:
+            elif k in asked and (custom or floor <= SHAPE):
                 shape = F.col(f"_s{k}")
                 hit = shape.isNotNull()
-                canonical, confidence, strategy = F.coalesce(shape, F.lit(UNKNOWN)), F.when(hit, SHAPE).otherwise(0.0), F.when(hit, "heuristic").otherwise("none")
+                sure, by = (F.col(f"_u{k}.confidence"), F.col(f"_u{k}.strategy")) if custom else (F.lit(SHAPE), F.lit("heuristic"))
+                canonical, confidence, strategy = F.coalesce(shape, F.lit(UNKNOWN)), F.when(hit, sure).otherwise(0.0), F.when(hit, by).otherwise("none")
                 if "birthday" in reachable(cell.header):
                     warnings.append(F.when(there & (shape == "birthday"), value_warning(cell.header, "birthday", F.get(F.col(f"_v{k}"), F.lit(0)))))
                 texts.append((0, cell.header, F.when(shape.isNull(), F.col(f"_c{k}"))))
@@ -339,14 +348,19 @@ class ContactMapper:
         return made if field in LIST_FIELDS else F.array(made)
 
     @staticmethod
-    def _shaped_value(cell: Cell, k: int, normalize: bool) -> Column:
+    def _shaped_value(cell: Cell, k: int, normalize: bool, more: tuple[str, ...], region: str | None) -> Column:
         c, shape, text = F.col(f"_c{k}"), F.col(f"_s{k}"), F.col(f"_t{k}")
         if not normalize or cell.kind == "scalar":
             return F.array(c)
         made = F.when(shape == "email", F.lower(text)).when(shape == "phone", F.col(f"_h{k}")).when(shape == "postal_code", normalize_column("postal_code", text))
         if "birthday" in reachable(cell.header):
             made = made.when(shape == "birthday", normalize_column("birthday", c))
-        return F.array(made.otherwise(text))
+        for f in more:
+            if f not in LIST_FIELDS:
+                made = made.when(shape == f, normalize_column(f, F.when(shape == f, c), region))
+        one = F.array(made.otherwise(text))
+        lists = [f for f in more if f in LIST_FIELDS]
+        return F.when(shape.isin(*lists), normalize_column(lists[0], c)).otherwise(one) if lists else one
 
     @staticmethod
     def _embed(step: DataFrame, texts: list[tuple[int, str, Column]], region: str | None) -> tuple[DataFrame, list[Column]]:
@@ -382,6 +396,19 @@ def _first(df: DataFrame, max_rows: int | None) -> DataFrame:
     return df.limit(max_rows)
 
 
+def _by_strategies(strategies: list[Strategy], header: str, c: Column, region: str | None) -> Column:
+    """STRUCT<canonical, confidence, strategy> of the first value-dependent strategy that matches."""
+
+    @F.pandas_udf("canonical string, confidence double, strategy string")
+    def verdicts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for column in batches:
+            found = [next((m for s in strategies if (m := s.match(header, v, default_region=region)) is not None), None) for v in column]
+            rows = [(None, None, None) if m is None else (m.canonical, m.confidence, m.strategy) for m in found]
+            yield pd.DataFrame(rows, columns=["canonical", "confidence", "strategy"]).astype({"confidence": "float64"})
+
+    return verdicts(c)
+
+
 def _under(header: str) -> Any:
     """Lambda: a found number with the header it stands under."""
     return lambda x: F.struct(F.lit(header).alias("header"), x["e164"].alias("e164"))

@@ -6,16 +6,23 @@ normalising them must give.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from .fields import ALL_FIELDS
 from .functions import names, phones, values
 from .functions.shapes import phone_candidate, shape_column
 from .operators.dedupe import dedupe, dedupe_single
+from .operators.header_tables import resolve_headers
 from .operators.mapper import ContactMapper, all_emails, all_phones, profile_counts, profile_results, values_of
+from .operators.reports import run_stats
+from .sources.writers import row_json
+from .storage import scratch_root
+from .streaming import dedupe_stream, map_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -488,3 +495,60 @@ def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.to_json(F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("fname"), F.get_json_object("props", "$.k").alias("zz_k"), extra.alias("zz_type")))
     r = _MAPPER.map_json(e.select("event_id", doc.alias("json")), keep=["event_id"])
     return r.select("event_id", _text("first_name").alias("first_name"), F.col("unmapped")["zz_k"].alias("k"), F.size("field_matches").alias("cells"))
+
+
+# Header tables, reports, streams.
+
+
+@_registered("SELECT h || ' ' || r AS header, CASE h WHEN 'E-Mail' THEN 'email' WHEN 'Zip Code' THEN 'postal_code' ELSE 'unknown' END AS canonical, CASE h WHEN 'Qqq' THEN 'none' ELSE 'normalized' END AS strategy FROM (SELECT DISTINCT '__' || n_regionkey AS r FROM nation), (VALUES ('E-Mail'), ('Zip Code'), ('Qqq')) t(h)")
+def header_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct headers of a table of headers."""
+    names_of = F.explode(F.array(*map(F.lit, ["E-Mail", "Zip Code", "Qqq"])))
+    rows = table(spark, sf_dir, "nation").select("n_regionkey", names_of.alias("h"))
+    headers = rows.select(F.concat("h", F.lit(" __"), F.col("n_regionkey").cast("string")).alias("header"))
+    return resolve_headers(headers).select("header", "canonical", "strategy")
+
+
+@_registered("SELECT t.*, n AS n_rows FROM (SELECT count(*) AS n FROM customer), (VALUES ('Country', 'country', false, false), ('Customer Name', 'full_name', false, false), ('E-Mail', 'email', false, false), ('MMERGE3', 'unknown', true, false), ('Mobile Phone', 'phone', false, false), ('Segment', 'tags', false, true)) t(header, canonical, dropped, low)")
+def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers seen in a run, those dropped and those of low confidence."""
+    return run_stats(_MAPPER.map(customers(spark, sf_dir).drop("id_key"))).select("header", "canonical", "dropped", "low", F.col("rows").alias("n_rows"))
+
+
+@_registered("SELECT c_custkey AS id_key, '{\"email\":\"' || lower(c_name) || '\",\"tags\":[\"' || c_mktsegment || '\"],\"verified\":' || CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END || '}' AS json, lower(c_name) || ',' || c_mktsegment AS csv FROM customer")
+def sink_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as the JSON and CSV sinks write them."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.alias("id_key"), F.col("c_name").alias("E-Mail"), F.col("c_mktsegment").alias("tags"), F.when(k % 2 == 0, "YES").otherwise("n").alias("verified"))
+    r = _MAPPER.map(rows, keep=["id_key"])
+    return r.select("id_key", row_json(r).alias("json"), F.concat_ws(",", _text("email"), _text("tags")).alias("csv"))
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events*.parquet")
+    user = F.col("user_id").cast("string")
+    return stream.select(F.col("event_id").alias("_row_number"), F.concat(F.lit("U"), user, F.lit("@X.com")).alias("E-Mail"), F.col("event_type").alias("zq"))
+
+
+def _finished(writer: DataStreamWriter, spark: SparkSession) -> None:
+    writer.option("checkpointLocation", f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start().awaitTermination()
+
+
+@_registered("SELECT event_id, 'u' || user_id || '@x.com' AS email, event_type AS zq FROM events")
+def stream_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapping over a file stream, to a parquet sink that is read back."""
+    out = f"{scratch_root(spark)}/stream-out-{uuid.uuid4().hex}"
+    mapped = map_stream(_streamed(spark, sf_dir), _MAPPER, keep=["_row_number"])
+    flat = mapped.select(F.col("_row_number").alias("event_id"), _text("email").alias("email"), F.col("unmapped")["zq"].alias("zq"))
+    _finished(flat.writeStream.format("parquet").option("path", out), spark)
+    return spark.read.schema("event_id long, email string, zq string").parquet(out)
+
+
+@_registered("SELECT min(event_id) AS event_id FROM events GROUP BY user_id")
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deduplication of a file stream against recorded keys."""
+    base = f"{scratch_root(spark)}/stream-dedupe-{uuid.uuid4().hex}"
+    mapped = map_stream(_streamed(spark, sf_dir), _MAPPER, keep=["_row_number"]).select("_row_number", "identity_keys")
+    _finished(dedupe_stream(mapped, f"{base}/state", f"{base}/out"), spark)
+    return spark.read.parquet(f"{base}/out").select(F.col("_row_number").alias("event_id"))
