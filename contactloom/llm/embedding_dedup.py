@@ -8,12 +8,15 @@ which are tested in double precision.
 
 Equal vectors are merged first and carry their number.  Vectors of one label and length are dealt
 into blocks of bounded size; a task holds two blocks, and returns sums of links for each vector and
-a spanning forest, never the list of all pairs.
+a spanning forest, never the list of all pairs.  Labels of many blocks first get a top level of the
+tree for all of them: a bounded number of pivots, each vector in the cell of its nearest one; cells
+whose covering radii keep them apart are never brought together.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +28,8 @@ from .common import persist, quoted, table
 from .graph import connected_components
 
 BLOCK = 2_048
+#: Labels of more blocks than this get pivots: at most so many each, and in all.
+PIVOTED_BLOCKS, LABEL_PIVOTS, ALL_PIVOTS = 8, 256, 4_096
 #: Room for rounding of single-precision distances; what passes is tested again in double.
 SLACK = 2e-3
 
@@ -136,6 +141,76 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _nearest(pivots: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cell and distance of each vector, both of unit length."""
+    unit = raw / np.sqrt((raw * raw).sum(axis=1))[:, None]
+    cosine = unit @ pivots.T
+    cell = cosine.argmax(axis=1)
+    return cell, np.sqrt(np.maximum(0, 2 - 2 * cosine[np.arange(len(raw)), cell]))
+
+
+def _dealt(distinct: DataFrame, threshold: float) -> DataFrame:
+    """Each vector once for each block that its own is compared with: label, dim, rep, vector,
+    times, own, lo, hi."""
+    spark, key = distinct.sparkSession, ["label", "dim"]
+    key_schema = distinct.select(*key).schema
+    sizes = persist(distinct.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "embedding-sizes")
+    large = sizes.where(F.col("n") > PIVOTED_BLOCKS * BLOCK).orderBy(F.desc("n"), *key).limit(ALL_PIVOTS // 2).collect()
+    plain, parts = sizes, []
+    if large:
+        total = sum(r["n"] for r in large)
+        wanted = [max(1, min(LABEL_PIVOTS, r["n"] // BLOCK, ALL_PIVOTS * r["n"] // total)) for r in large]
+        rates = spark.createDataFrame([(r["label"], r["dim"], w / r["n"]) for r, w in zip(large, wanted, strict=True)], key_schema.add("rate", "double"))
+        drawn = distinct.join(F.broadcast(rates), key).where(F.pmod(F.xxhash64("rep"), F.lit(1 << 32)) / float(1 << 32) < F.col("rate"))
+        pivots: dict[tuple, np.ndarray] = {}
+        for r in drawn.select(*key, "vector").limit(2 * ALL_PIVOTS).collect():
+            v = np.array(r["vector"], dtype=np.float64)
+            pivots.setdefault((r["label"], r["dim"]), []).append(v / math.sqrt(float(v @ v)))
+        if pivots:
+            chosen = F.broadcast(spark.createDataFrame(list(pivots), distinct.select(*key).schema))
+            plain = sizes.join(chosen, key, "left_anti")
+            parts.append(_by_cells(distinct.join(chosen, key), {k: np.array(v) for k, v in pivots.items()}, threshold))
+    blocks = plain.select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rest = distinct.join(blocks, key).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    parts.append(rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    columns = [*key, "rep", "vector", "times", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")]
+    every = parts[0].select(*columns)
+    return every.union(parts[1].select(*columns)) if len(parts) > 1 else every
+
+
+def _by_cells(rows: DataFrame, pivots: dict[tuple, np.ndarray], threshold: float) -> DataFrame:
+    """``rows`` of pivoted labels with ``own`` and ``other`` blocks of cells that may hold links."""
+    schema = f"{rows.select('label', 'dim', 'rep', 'vector', 'times').schema.simpleString()[7:-1]},cell:int,far:double"
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = batch[["label", "dim", "rep", "vector", "times"]].assign(cell=0, far=0.0)
+            for key, at in batch.groupby(["label", "dim"]).indices.items():
+                cell, far = _nearest(pivots[key], np.array(batch["vector"].iloc[at].tolist(), dtype=np.float64))
+                out.iloc[at, 5], out.iloc[at, 6] = cell, far
+            yield out.astype({"cell": "int32"})
+
+    placed = persist(rows.mapInPandas(assign, schema), "embedding-cells")
+    cells: dict[tuple, list] = {}
+    for r in placed.groupBy("label", "dim", "cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect():  # one row a pivot
+        cells.setdefault((r["label"], r["dim"]), []).append((r["cell"], r["far"], -(-r["n"] // BLOCK)))
+    link, table_rows = math.sqrt(max(0.0, 2 - 2 * threshold)), []
+    for (label, dim), own in cells.items():
+        index, far, count = (np.array(x) for x in zip(*sorted(own), strict=True))
+        first = np.cumsum([0, *count[:-1]])
+        centre = pivots[label, dim][index]
+        apart = np.sqrt(np.maximum(0, 2 - 2 * (centre @ centre.T)))
+        near = apart <= link + SLACK + far[:, None] + far[None, :]
+        for k, cell in enumerate(index):
+            others = [int(b) for j in np.nonzero(near[k])[0] for b in range(first[j], first[j] + count[j])]
+            table_rows.append((label, dim, int(cell), int(first[k]), int(count[k]), others))
+    kinds = rows.select("label", "dim").schema.simpleString()[7:-1]
+    partners = rows.sparkSession.createDataFrame(table_rows, f"{kinds},cell:int,first:int,blocks:int,others:array<int>")
+    met = placed.join(partners, ["label", "dim", "cell"])
+    met = met.withColumn("own", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    return met.withColumn("other", F.explode("others"))
+
+
 def embedding_groups(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per row of ``vectors``: the id, n_links, component_id, kept.
 
@@ -150,11 +225,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.93, id_col: str =
     distinct = rows.where(good).groupBy("label", "vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times"))
     distinct = persist(distinct.withColumn("rep", F.monotonically_increasing_id()), "embedding-distinct")
 
-    sizes = distinct.groupBy("label", F.size("vector").alias("dim")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = distinct.withColumn("dim", F.size("vector")).join(sizes, ["label", "dim"])
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("label", "dim", "rep", "vector", "times", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    dealt = _dealt(distinct.withColumn("dim", F.size("vector")), threshold)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         rep, times = group["rep"].to_numpy(), group["times"].to_numpy()

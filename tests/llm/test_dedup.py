@@ -98,6 +98,19 @@ def test_simhash_groups(spark):
     assert simhash.simhash_groups(docs.limit(0)).count() == 0 and simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_cells_that_cannot_meet_are_apart(spark, monkeypatch):
+    from contactloom.llm import embedding_dedup
+
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 10)
+    monkeypatch.setattr(embedding_dedup, "PIVOTED_BLOCKS", 1)
+    rng = np.random.default_rng(9)
+    x = np.repeat(np.eye(16)[:8], 40, axis=0) + rng.normal(scale=0.01, size=(320, 16))
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "rep long, vector array<float>, label int").selectExpr("label", "16 dim", "rep", "vector", "1L times")
+    pairs = embedding_dedup._dealt(df, 0.93).select("lo", "hi").distinct().count()
+    blocks = embedding_dedup._dealt(df, 0.93).select("own").distinct().count()
+    assert blocks >= 32 and pairs < blocks * (blocks + 1) / 4
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 102), (101, 102), (7, 7), (7, 8), (8, 7)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -132,11 +145,12 @@ def test_links_between():
     assert spanning_roots(4, np.array([3, 1]), np.array([1, 2])).tolist() == [0, 1, 1, 1]
 
 
-@pytest.mark.parametrize("block", [2048, 20])
-def test_embedding_groups(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,pivoted", [(2048, 8), (20, 8), (7, 1)])
+def test_embedding_groups(spark, monkeypatch, block, pivoted):
     from contactloom.llm import embedding_dedup
 
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "PIVOTED_BLOCKS", pivoted)
     x = vectors()
     rows = [(k, v.tolist(), k % 2) for k, v in enumerate(x)] + [(500 + k, x[k].tolist(), k % 2) for k in range(6)]
     odd = [(900, None, 0), (901, [0.0] * 16, 0), (902, [1.0, None], 0), (903, [float("nan")], 0), (904, [float("inf")], 0), (905, x[0].tolist(), None), (906, [], 0), (907, x[0].tolist()[:8], 0)]
