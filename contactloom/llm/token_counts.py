@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import quoted, scratch_path, table
+from .common import persist, quoted, scratch_path, table
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
 MEMO_WORDS = 1_000_000
@@ -121,6 +121,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str, limit: int = 2048
 
     texts.mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = persist(counts, "token-counts")  # a plain side, so that a join on a popular content can be split
     sized = docs.select(quoted(id_col).alias("id"), F.sha2(text.cast("binary"), 256).alias("content"), F.octet_length(text).cast("long").alias("n_bytes"))
     return sized.join(counts, "content").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
