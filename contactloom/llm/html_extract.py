@@ -169,7 +169,7 @@ def style_features(root: Node) -> list[tuple[int, int, int]]:
     out, stack = set(), [(root, path_key(0, ""))]
     while stack:
         node, path = stack.pop()
-        if node.prior:
+        if node.prior or node.tag == "header":
             continue
         shape: list[str] = []
         for c in node.children:
@@ -184,7 +184,8 @@ def style_features(root: Node) -> list[tuple[int, int, int]]:
 
 
 def main_blocks(root: Node, low: frozenset[int]) -> list[str]:
-    """Text blocks of a page in order, without boilerplate and low-importance branches."""
+    """Text blocks of a page in order, without boilerplate and low-importance branches.  A header is
+    the page's own, and goes, unless it stands in declared main text."""
     tops = declared_main(root)
     blocks: list[str] = []
     words: list[str] = []
@@ -205,7 +206,7 @@ def main_blocks(root: Node, low: frozenset[int]) -> list[str]:
                 close()
             elif isinstance(item, str):
                 words.append(item)
-            elif item.prior == -1 or (not declared and path in low):
+            elif item.prior == -1 or (not declared and (path in low or item.tag == "header")):
                 if item.tag in BLOCKS:
                     close()
             elif item.tag == "br":
