@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_SCRATCH: dict[str, str] = {}
+from ..storage import persist, scratch_root
+
+__all__ = ["fold_of", "free_name", "persist", "quoted", "scratch_path", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,31 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a private one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_SCRATCH:
-        _OWN_SCRATCH[app] = path = tempfile.mkdtemp(prefix="contactloom-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return f"file://{_OWN_SCRATCH[app]}"
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path for one written table in the shared folder."""
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def persist(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage by a written table: survives the loss of any executor, unlike a local cache."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that clashes with none of ``df`` (names are compared without case)."""
     taken = {c.lower() for c in df.columns}
