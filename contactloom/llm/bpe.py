@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
 
 from .common import quoted, table
 
