@@ -552,3 +552,36 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapped = map_stream(_streamed(spark, sf_dir), _MAPPER, keep=["_row_number"]).select("_row_number", "identity_keys")
     _finished(dedupe_stream(mapped, f"{base}/state", f"{base}/out"), spark)
     return spark.read.parquet(f"{base}/out").select(F.col("_row_number").alias("event_id"))
+
+
+# One large export, for throughput: a contact for each order line.
+
+
+def order_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wide export of one row for each line item."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    last = F.lpad((k % 10000).cast("string"), 4, "0")
+    return table(spark, sf_dir, "lineitem").select(
+        k.alias("zq Key"), n.alias("zq Line"), F.concat(F.lit(" User"), k.cast("string"), F.lit("@Mail.ORG")).alias("E-Mail"), F.concat(F.lit("(202) 555-"), last).alias("Mobile Phone"),
+        F.element_at(F.array(*map(F.lit, COUNTRY_NAMES)), (k % 6 + 1).cast("int")).alias("Country"), F.concat(n.cast("string"), F.lit("TH  MAIN st")).alias("Street"),
+        F.concat(F.lit("25/03/"), (2000 + n).cast("string")).alias("Created Date"), F.concat(F.lit("a; b"), n.cast("string")).alias("Segment"), F.when(n % 2 == 0, "YES").otherwise("no").alias("Newsletter"),
+    )
+
+
+_ORDER_PICK_SQL = "CASE l_orderkey % 6 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(COUNTRY_CODES)) + " END"
+_ORDER_FIELDS_SQL = f"""'user' || l_orderkey || '@mail.org' AS email, '+1202555' || lpad(CAST(l_orderkey % 10000 AS VARCHAR), 4, '0') AS phone, {_ORDER_PICK_SQL} AS country,
+    l_linenumber || 'th Main St' AS address_line1, (2000 + l_linenumber) || '-03-25' AS created_at, 'a; b' || l_linenumber AS tags, CASE WHEN l_linenumber % 2 = 0 THEN 'true' ELSE 'false' END AS subscribed"""
+
+
+@_registered(f'SELECT l_orderkey AS "zq Key", l_linenumber AS "zq Line", {_ORDER_FIELDS_SQL} FROM lineitem')
+def map_columns_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rename and normalise the large export."""
+    return _MAPPER.map_columns(order_contacts(spark, sf_dir)).withColumn("tags", F.array_join("tags", "; "))
+
+
+@_registered(f"SELECT l_orderkey AS order_key, l_linenumber AS line, {_ORDER_FIELDS_SQL}, 7 AS matched FROM lineitem")
+def map_rows_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole result rows of the large export."""
+    r = _MAPPER.map(order_contacts(spark, sf_dir), keep=["zq Key", "zq Line"])
+    fields = [_text(f).alias(f) for f in ("email", "phone", "country", "address_line1", "created_at", "tags", "subscribed")]
+    return r.select(F.col("zq Key").alias("order_key"), F.col("zq Line").alias("line"), *fields, "matched")
