@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -27,5 +28,15 @@ def scratch_root(spark: SparkSession) -> str:
 def persist(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a written table."""
     path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables written so far, once no result that reads them is needed; their number."""
+    done = 0
+    while _WRITTEN:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        done += bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
+    return done

@@ -52,3 +52,10 @@ def test_header_table(spark):
     got = {r["header"]: (r["canonical"], r["confidence"], r["strategy"]) for r in resolve_headers(df, "h").collect()}
     assert got == {"E-Mail": ("email", 0.95, "normalized"), "email": ("email", 1.0, "exact"), "Compny": ("company", 0.85, "fuzzy"), "xyzzy": ("unknown", 0.0, "none"), "": ("unknown", 0.0, "none")}
     assert resolve_headers(df.limit(0), "h").count() == 0
+
+
+def test_release(spark):
+    from contactloom.storage import persist, release
+
+    kept = persist(spark.range(3), "probe")
+    assert kept.count() == 3 and release(spark) >= 1 and release(spark) == 0
