@@ -106,8 +106,9 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str, limit: int = 2048
     known = read_cache(spark, cache).where(F.col("tokenizer") == version)
 
     # One row of each missing content stands for all; its text is fetched by (id, content).
-    missing = rows.select("id", "content").join(known.select("content"), "content", "left_anti")
-    chosen = missing.groupBy("content").agg(F.min("id").alias("chosen"))
+    # Grouped before the join, so that copies shrink before they are shuffled.
+    contents = rows.groupBy("content").agg(F.min("id").alias("chosen"))
+    chosen = contents.join(known.select("content"), "content", "left_anti")
     chosen = chosen.withColumnRenamed("content", "digest").hint("shuffle_hash")
     texts = rows.join(chosen, (F.col("content") == F.col("digest")) & F.col("id").eqNullSafe(F.col("chosen")), "left_semi").select("content", "text")
 
