@@ -128,7 +128,7 @@ class ContactMapper:
 
     @staticmethod
     def _low(m: FieldMatch, threshold: float) -> str:
-        return f"{m.original!r}: match to {m.canonical!r} dropped, confidence {m.confidence:.2f} is below threshold {threshold:.2f}"
+        return f"{m.original!r}: dropped low-confidence match to {m.canonical!r} (confidence {m.confidence:.2f} < threshold {threshold:.2f})"
 
     def compile_plan(self, headers: Iterable[str], *, confidence_threshold: float | None = None, strict: bool = False, default_region: str | None = None) -> MappingPlan:
         """Header verdicts only; value shapes play no part."""
@@ -312,7 +312,7 @@ class ContactMapper:
                 if cell.match is not None:
                     warnings.append(F.when(there, warning(WarningCategory.LOW_CONFIDENCE, F.lit(self._low(cell.match, floor)), cell.header)))
                 elif k in asked:
-                    low = F.concat(F.lit(f"{cell.header!r}: match to '"), F.col(f"_s{k}"), F.lit(f"' dropped, confidence {SHAPE:.2f} is below threshold {floor:.2f}"))
+                    low = F.concat(F.lit(f"{cell.header!r}: dropped low-confidence match to '"), F.col(f"_s{k}"), F.lit(f"' (confidence {SHAPE:.2f} < threshold {floor:.2f})"))
                     warnings.append(F.when(there & F.col(f"_s{k}").isNotNull(), warning(WarningCategory.LOW_CONFIDENCE, low, cell.header)))
                 if cell.kind == "string":
                     texts.append((0, cell.header, F.col(f"_c{k}")))
@@ -324,7 +324,7 @@ class ContactMapper:
                 entries.append(F.when(there & hit, F.struct(canonical.alias("field"), F.col(f"_v{k}").alias("values"))))
         if embedded:
             step, more = self._embed(step, texts, region)
-            entries.append(F.when(F.size("_extra") > 0, F.struct(F.lit("phone").alias("field"), F.transform("_extra", lambda x: x["e164"]).alias("values"))))
+            entries.append(F.when(F.size("_extra") > 0, F.struct(F.lit("phone").alias("field"), F.array_distinct(F.transform("_extra", lambda x: x["e164"])).alias("values"))))
             warnings += more
         step = step.select(*kept, *(["_extra"] if embedded else []), _array(entries, ENTRY).alias("_entries"), F.map_from_entries(_array(unmapped, PAIR)).alias("unmapped"), _array(matches, MATCH).alias("field_matches"), _array(warnings, WARNING).alias("warnings"))
         found = F.col("field_matches")
@@ -368,16 +368,32 @@ class ContactMapper:
         texts = sorted(texts, key=lambda x: x[0])
         step = step.select("*", *(c.alias(f"_x{n}") for n, (_, _, c) in enumerate(texts)))
         step = step.select("*", *(embedded_numbers(F.col(f"_x{n}"), region).alias(f"_e{n}") for n in range(len(texts))))
+        if not texts:
+            return step.select("*", F.array().cast("array<struct<header:string,e164:string>>").alias("_extra")), []
+        none = F.array().cast("array<struct<start:int,end:int,raw:string,e164:string>>")
+        seen = [F.struct(F.coalesce(F.length(f"_x{n}"), F.lit(0)).alias("size"), F.size(F.coalesce(F.col(f"_e{n}"), none)).alias("n")) for n in range(len(texts))]
+        step = step.select("*", F.array(*seen).alias("_seen"))
+
+        def limits(x: Column, i: Column) -> Column:
+            """What fields before took of the row's limit, and what is left for this one."""
+            taken = F.aggregate(F.slice(F.col("_seen"), F.lit(1), i), F.lit(0), lambda t, y: t + F.least(F.lit(EMBEDDED_PER_FIELD), y["n"]))
+            before = F.least(F.lit(EMBEDDED_PER_ROW), taken)
+            left = F.least(F.lit(EMBEDDED_PER_FIELD), EMBEDDED_PER_ROW - before)
+            return F.struct(x["size"].alias("size"), x["n"].alias("n"), left.alias("left"), (before + F.least(left, x["n"])).alias("after"))
+
+        step = step.select("*", F.transform("_seen", limits).alias("_limits"))
         parts, caps = [], []
         for n, (_, header, _) in enumerate(texts):
-            found = F.coalesce(F.col(f"_e{n}"), F.array().cast("array<struct<start:int,end:int,raw:string,e164:string>>"))
-            parts.append(F.transform(F.slice(found, 1, EMBEDDED_PER_FIELD), _under(header)))
-            caps.append(F.when(F.length(f"_x{n}") > EMBEDDED_TEXT, warning(WarningCategory.EMBEDDED_PHONE_LIMIT, F.lit(f"{header!r}: only the first {EMBEDDED_TEXT} characters were scanned for phone numbers"), header)))
-            caps.append(F.when(F.size(found) > EMBEDDED_PER_FIELD, warning(WarningCategory.EMBEDDED_PHONE_LIMIT, F.lit(f"{header!r}: only the first {EMBEDDED_PER_FIELD} embedded phone numbers were taken"), header)))
-        every = F.flatten(F.array(*parts)) if parts else F.array().cast("array<struct<header:string,e164:string>>")
-        step = step.select("*", every.alias("_every"))
-        caps.append(F.when(F.size("_every") > EMBEDDED_PER_ROW, warning(WarningCategory.EMBEDDED_PHONE_LIMIT, F.lit(f"only the first {EMBEDDED_PER_ROW} embedded phone numbers of the row were taken"), "")))
-        return step.select("*", F.slice("_every", 1, EMBEDDED_PER_ROW).alias("_extra")), caps
+            x = F.get(F.col("_limits"), F.lit(n))
+            parts.append(F.transform(F.slice(F.coalesce(F.col(f"_e{n}"), none), F.lit(1), x["left"]), _under(header)))
+            long = f"{header!r}: embedded phone scan truncated at {EMBEDDED_TEXT} characters"
+            many = f"{header!r}: embedded phone extraction stopped after {EMBEDDED_PER_FIELD} matches for this field"
+            caps.append(F.when((x["left"] > 0) & (x["size"] > EMBEDDED_TEXT), warning(WarningCategory.EMBEDDED_PHONE_LIMIT, F.lit(long), header)))
+            caps.append(F.when((x["left"] == EMBEDDED_PER_FIELD) & (x["n"] > EMBEDDED_PER_FIELD), warning(WarningCategory.EMBEDDED_PHONE_LIMIT, F.lit(many), header)))
+        full = F.exists("_limits", lambda x: ((x["left"] == 0) & (x["size"] > 6)) | ((x["n"] > x["left"]) & (x["after"] >= EMBEDDED_PER_ROW)))
+        row = f"embedded phone extraction stopped after {EMBEDDED_PER_ROW} matches for this payload"
+        caps.append(F.when(full, warning(WarningCategory.EMBEDDED_PHONE_LIMIT, F.lit(row), "")))
+        return step.select("*", F.flatten(F.array(*parts)).alias("_extra")), caps
 
     # Aggregates
 
@@ -470,7 +486,7 @@ def identity_keys(normalized: Column) -> Column:
     emails = F.transform(all_emails(normalized), lambda x: F.concat(F.lit("email:"), F.lower(trim(x))))
     phones = F.transform(all_phones(normalized), lambda x: F.concat(F.lit("phone:"), trim(x)))
     services = F.filter(values_of(normalized, "source_service"), lambda x: ~_blank(x))
-    prefix = F.when(F.size(services) == 1, F.concat(F.lit("source:"), trim(F.get(services, F.lit(0))), F.lit(":"))).otherwise(F.lit("source_id:"))
+    prefix = F.when(F.size(services) == 1, F.concat(F.lit("source:"), F.lower(trim(F.get(services, F.lit(0)))), F.lit(":"))).otherwise(F.lit("source_id:"))
     ids = F.transform(F.filter(values_of(normalized, "source_id"), lambda x: ~_blank(x)), lambda x: F.concat(prefix, trim(x)))
     return F.array_distinct(F.concat(emails, phones, ids))
 

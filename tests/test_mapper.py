@@ -71,6 +71,22 @@ def test_embedded_phones(spark, mapper):
     assert sum(m["strategy"] == "embedded_phone" for m in a["field_matches"]) == 5
 
 
+def test_embedded_phone_limits_of_a_row(spark, mapper):
+    text = " ".join(f"202-555-0{k:03d}" for k in range(7))
+    df = spark.createDataFrame([(text,) * 5, (text.replace("202", "303"),) * 3 + ("", None)], "zq1 string, zq2 string, zq3 string, zq4 string, zq5 string")
+    a, b = mapper.map(df, extract_embedded_phones=True).collect()
+    assert sum(m["strategy"] == "embedded_phone" for m in a["field_matches"]) == 20 and a["normalized"]["phone"] == [f"+12025550{k:03d}" for k in range(5)]
+    said = [w["message"] for w in a["warnings"]]
+    assert said == [f"'zq{k}': embedded phone extraction stopped after 5 matches for this field" for k in range(1, 5)] + ["embedded phone extraction stopped after 20 matches for this payload"]
+    assert len(b["warnings"]) == 3
+
+
+def test_threshold_text(spark, mapper):
+    df = spark.createDataFrame([("x", "a@b.co")], "Compny string, zq string")
+    said = [w["message"] for w in mapper.map(df, confidence_threshold=0.9).first()["warnings"]]
+    assert said == ["'Compny': dropped low-confidence match to 'company' (confidence 0.85 < threshold 0.90)", "'zq': dropped low-confidence match to 'email' (confidence 0.60 < threshold 0.90)"]
+
+
 def test_ragged_json(spark, mapper):
     df = spark.createDataFrame([('{"fname": "ada", "contact": {"email": "A@b.co"}, "n": 1}',), ('{"zq": null}',), ("broken",), ("[1]",), (None,)], "json string")
     got = rows(mapper.map_json(df, depth=2))
