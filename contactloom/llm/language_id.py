@@ -231,7 +231,7 @@ def identify_languages(docs: DataFrame, model: Model | None = None, id_col: str
     return rows.select(F.col("id").alias(id_col), (fold_of(F.col("id")) == 0).alias("held_out"), "x.lang_pred", "x.score")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose language is known with at least ``min_score``."""
     to = free_name(docs, "language")
     marked = docs.withColumn(to, prediction_column(quoted(text_col), train_model(docs, id_col, text_col, lang_col)))
