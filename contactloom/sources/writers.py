@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..fields import ALL_FIELDS, BOOLEAN_FIELDS, LIST_FIELDS, ContactError
+from ..fields import BOOLEAN_FIELDS, LIST_FIELDS, ContactError
 
 MATERIALIZED_ROWS = 100_000
 
@@ -55,18 +55,24 @@ def row_json(results: DataFrame, keep_unmapped: bool = False) -> Column:
     return F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}"))
 
 
+def _first_seen(results: DataFrame, column: str) -> list[str]:
+    """Keys of a map column by first appearance; headers or fields, not rows, reach the driver."""
+    row = F.col("_row_number") if "_row_number" in results.columns else F.lit(0)
+    seen = results.select(row.alias("row"), F.posexplode(F.map_keys(column)).alias("pos", "key"))
+    return [r["key"] for r in seen.groupBy("key").agg(F.min(F.struct("row", "pos")).alias("at")).orderBy("at", "key").collect()]
+
+
 def flat(results: DataFrame, keep_unmapped: bool = False, fields: Sequence[str] | None = None) -> DataFrame:
     """Result rows as text columns: the fields that occur, lists joined by ``"; "``.
 
-    Without ``fields`` one pass finds them; they stand in the vocabulary's order, others after it.
+    Without ``fields`` one pass finds them, in the order of their first appearance: by
+    ``_row_number`` where the results have it, then by place within a row.
     """
     if fields is None:
-        found = {r[0] for r in results.select(F.explode(F.map_keys("normalized"))).distinct().collect()}  # fields, not rows
-        order = {f: k for k, f in enumerate(ALL_FIELDS)}
-        fields = sorted(found, key=lambda f: (order.get(f, len(order)), f))
+        fields = _first_seen(results, "normalized")
     columns = [F.array_join(F.col("normalized")[f], "; ").alias(f) for f in fields]
     if keep_unmapped:
-        keys = sorted(r[0] for r in results.select(F.explode(F.map_keys("unmapped"))).distinct().collect())
+        keys = _first_seen(results, "unmapped")
         columns += [F.col("unmapped")[k].alias(name) for k, name in unmapped_names(keys, fields).items()]
     return results.select(*columns)
 

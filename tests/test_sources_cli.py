@@ -68,7 +68,7 @@ def test_map_command(spark, tmp_path, capsys):
     assert cli.main(["map", str(src), "--on-error", "skip", "--quarantine-output", "q", "-o", str(out)]) == 1
     csv_out = tmp_path / "o.csv"
     assert cli.main(["map", str(src), "-o", str(csv_out), "--on-error", "skip", "--override", "zq=notes", "--schema-in", str(plan)]) == 2
-    assert csv_out.read_text().splitlines()[0] == "email,verified,tags,notes"
+    assert csv_out.read_text().splitlines()[0] == "email,tags,verified,notes"
 
 
 def test_other_commands(spark, tmp_path, capsys):
