@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -24,6 +25,16 @@ def profile_stream(results: DataFrame) -> DataFrame:
     return profile_counts(results)
 
 
+def _recorded(spark: SparkSession, state: str) -> DataFrame | None:
+    """(key, batch) recorded so far, or None before any batch has written."""
+    try:
+        return spark.read.schema("key string, batch int").parquet(state)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def dedupe_stream(results: DataFrame, state: str, out: str, keys: str = "identity_keys", order: str = "_row_number") -> DataStreamWriter:
     """Keeps the first row of each identity, against the keys recorded by earlier batches.
 
@@ -39,12 +50,10 @@ def dedupe_stream(results: DataFrame, state: str, out: str, keys: str = "identit
         batch.write.parquet(work)
         rows = spark.read.parquet(work)
         keyed = rows.select("_id", F.explode_outer(keys).alias("key"))
-        try:
-            known = spark.read.parquet(state).where(F.col("batch") < number).select("key")
-            keyed = keyed.join(rows.select("_id", F.explode(keys).alias("key")).join(known, "key", "left_semi").select("_id").distinct(), "_id", "left_anti")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
+        if number and (known := _recorded(spark, state)) is not None:
+            known = known.where(F.col("batch") < number).select("key")
+            taken = rows.select("_id", F.explode(keys).alias("key")).join(known, "key", "left_semi").select("_id").distinct()
+            keyed = keyed.join(taken, "_id", "left_anti")
         fresh = rows.join(keyed.select("_id").distinct(), "_id", "left_semi")
         kept = fresh.join(kept_orders(fresh.select(F.col("_id").alias("row"), F.col(keys).alias("keys"))).withColumnRenamed("row", "_id"), "_id", "left_semi")
         kept.drop("_id").write.mode("overwrite").parquet(f"{out}/batch={number}")
