@@ -21,6 +21,8 @@ from .common import persist, quoted, scratch_path, table
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
 MEMO_WORDS = 1_000_000
+#: So few misses are broadcast (their number is counted first); beyond, texts are shuffled to them.
+FEW_MISSES = 10_000
 #: Texts of these characters only are counted word by word; the library itself counts all others.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa0-\xac\xae-įı-ſ‐-‧€]*")
 #: Fixed value: the split of the lower-case word vocabularies this fast path knows.
@@ -97,7 +99,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str, limit: int = 2048
     A null text counts as empty.  Rows with null or repeated ids each get their row; extra columns
     are not touched.  ``cache`` is a path in shared storage; it is created when missing and only
     ever appended to (a text counted twice by two runs at once gives two equal rows, of which one
-    is read).  Texts travel once, by id and content digest, and only where the cache lacks them.
+    is read).  With few misses no text is shuffled; with many, each text is once.
     """
     spark = docs.sparkSession
     version = tokenizer_digest(vocabulary)
@@ -109,18 +111,23 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str, limit: int = 2048
     # Grouped before the join, so that copies shrink before they are shuffled.
     contents = rows.groupBy("content").agg(F.min("id").alias("chosen"))
     chosen = contents.join(known.select("content"), "content", "left_anti")
-    chosen = chosen.withColumnRenamed("content", "digest").hint("shuffle_hash")
+    chosen = persist(chosen.withColumnRenamed("content", "digest"), "token-misses")
+    misses = chosen.count()
+    chosen = F.broadcast(chosen) if misses <= FEW_MISSES else chosen.hint("shuffle_hash")
     texts = rows.join(chosen, (F.col("content") == F.col("digest")) & F.col("id").eqNullSafe(F.col("chosen")), "left_semi").select("content", "text")
+    if misses <= FEW_MISSES:
+        texts = texts.dropDuplicates(["content"])  # rows that are equal in id and content; the shuffled join brings them together
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count, seen = counter(vocabulary), set()  # rows that are equal in id and content meet in one partition
+        count, seen = counter(vocabulary), set()
         for batch in batches:
             fresh = batch.drop_duplicates("content")
             fresh = fresh[~fresh["content"].isin(seen)]
             seen.update(fresh["content"])
             yield pd.DataFrame({"content": fresh["content"], "tokenizer": version, "n_tokens": [count(t) for t in fresh["text"]]})
 
-    texts.mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    if misses:
+        texts.mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     counts = persist(counts, "token-counts")  # a plain side, so that a join on a popular content can be split
     sized = docs.select(quoted(id_col).alias("id"), F.sha2(text.cast("binary"), 256).alias("content"), F.octet_length(text).cast("long").alias("n_bytes"))

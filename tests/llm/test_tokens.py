@@ -47,7 +47,9 @@ def test_counts_are_the_library():
     assert [token_counts.counter(PIECES)(t) for t in TEXTS[:5]] == [len(model.encode(t)) for t in TEXTS[:5]]
 
 
-def test_digest_cache(spark, tmp_path):
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_digest_cache(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(token_counts, "FEW_MISSES", few)
     path = f"file://{tmp_path}/cache"
     docs = spark.createDataFrame([(1, "a b", 0), (2, "a b", 0), (None, "a b", 0), (3, None, 0), (3, "", 0), (4, "c " * 3000, 0)], "doc_id long, text string, content int")
     got = sorted(((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_counts.count_tokens(docs, WORDS, path).collect()), key=str)
