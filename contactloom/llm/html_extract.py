@@ -9,9 +9,11 @@ zero both ways; branches whose importance stays below a bound are removed from e
 
 Only counts by (host, path, feature) are merged, so a large host is partial aggregates, never a
 list of its pages.  Two priors frame the tree.  Elements that declare themselves boilerplate
-(navigation, footers, adverts, forms, comments, ...) have importance zero, and the inside of a
-declared article has importance one: menus filled with words that differ from page to page, and
-articles that a site repeats, would mislead entropies taken alone.
+(navigation, footers, adverts, forms, comments, ...) have importance zero: menus filled with words
+that differ from page to page would mislead entropies taken alone.  A declared article is a root of
+its own in the tree, and its parts have their importance raised by ``RAISE``; parts that the host
+still repeats go.  There, pages of one and the same article count once, so that articles that a site
+repeats stay whole.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ from .common import persist, quoted, table
 
 LEAST_PAGES = 3
 BOUND = 0.2
+RAISE = 0.1
+#: Parent key of declared main elements.
+MAIN_ROOT = 1
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -163,29 +168,63 @@ def path_key(parent: int, style: str) -> int:
     return xxhash.xxh64_intdigest(f"{parent}>{style}", 7) - (1 << 63)
 
 
-def style_features(root: Node) -> list[tuple[int, int, int]]:
-    """(path, kind, feature) of the undecided branches of one page, each once: kind 0 is the style
-    node (sequence of children, runs of one style as one), kind 1 a text of the element's own."""
-    out, stack = set(), [(root, path_key(0, ""))]
+def _is_unit(node: Node) -> bool:
+    """Whether an element of declared main text is judged by itself: blocks and what has a class.
+    Other elements are words of the unit around them."""
+    return node.tag in BLOCKS or "." in node.style
+
+
+def _features(top: Node, start: int, declared: bool) -> tuple[set[tuple[int, int, int]], list[str]]:
+    """(path, kind, feature) of the branches under ``top``, and their texts."""
+    out: set[tuple[int, int, int]] = set()
+    texts: list[str] = []
+    stack = [(top, start)]
     while stack:
         node, path = stack.pop()
-        if node.prior or node.tag == "header":
+        if node.prior == -1 or (not declared and (node.prior or node.tag == "header")):
             continue
         shape: list[str] = []
-        for c in node.children:
-            if isinstance(c, Node):
+        own: list[str] = []
+        inner: list[Node | str] = list(reversed(node.children))
+        while inner:
+            c = inner.pop()
+            if isinstance(c, str):
+                own.append(c)
+            elif declared and not _is_unit(c):
+                if c.prior != -1:
+                    own.append(" " if c.tag == "br" else "")
+                    inner += reversed(c.children)
+            else:
                 if not shape or shape[-1] != c.style:
                     shape.append(c.style)
                 stack.append((c, path_key(path, c.style)))
-            elif said := _SPACE.sub(" ", c).strip():
+        for said in ["".join(own)] if declared else own:
+            if said := _SPACE.sub(" ", said).strip():
                 out.add((path, 1, xxhash.xxh64_intdigest(said) - (1 << 63)))
+                texts.append(said)
         out.add((path, 0, xxhash.xxh64_intdigest("|".join(shape)) - (1 << 63)))
-    return list(out)
+    return out, texts
+
+
+def style_features(root: Node) -> list[tuple[int, int, int, int]]:
+    """(path, kind, feature, article) of the branches of one page that are not declared boilerplate,
+    each once: kind 0 is the style node (sequence of children, runs of one style as one), kind 1 a
+    text of the element's own.  Article is a digest of the page's declared main text for branches
+    in it, 0 for others."""
+    out = [(*f, 0) for f in _features(root, path_key(0, ""), False)[0]]
+    declared, texts = set(), []
+    for top in declared_main(root):
+        found, said = _features(top, path_key(MAIN_ROOT, top.style), True)
+        declared |= found
+        texts += said
+    article = xxhash.xxh64_intdigest("\n".join(texts)) - (1 << 63)
+    return out + [(*f, article) for f in declared]
 
 
 def main_blocks(root: Node, low: frozenset[int]) -> list[str]:
     """Text blocks of a page in order, without boilerplate and low-importance branches.  A header is
-    the page's own, and goes, unless it stands in declared main text."""
+    the page's own, and goes, unless it stands in declared main text; there, a low branch loses its
+    own words and its parts are judged for themselves."""
     tops = declared_main(root)
     blocks: list[str] = []
     words: list[str] = []
@@ -205,7 +244,8 @@ def main_blocks(root: Node, low: frozenset[int]) -> list[str]:
             if item is None:
                 close()
             elif isinstance(item, str):
-                words.append(item)
+                if not declared or path == start or path not in low:
+                    words.append(item)
             elif item.prior == -1 or (not declared and (path in low or item.tag == "header")):
                 if item.tag in BLOCKS:
                     close()
@@ -217,11 +257,11 @@ def main_blocks(root: Node, low: frozenset[int]) -> list[str]:
                     close()
                     stack.append((None, 0))
                 for c in reversed(item.children):
-                    stack.append((c, path_key(path, c.style) if isinstance(c, Node) and not declared else 0))
+                    stack.append((c, path_key(path, c.style) if isinstance(c, Node) and (not declared or _is_unit(c)) else path))
 
     if tops:
         for top in tops:
-            walk(top, True, 0)
+            walk(top, True, path_key(MAIN_ROOT, top.style))
             close()
     else:
         walk(root, False, path_key(0, ""))
@@ -237,24 +277,26 @@ def host_of(url: Column) -> Column:
 def low_branches(pages: DataFrame, bound: float = BOUND, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, path) of low-importance branches; ``pages`` has host and html.
 
-    An element's importance is the larger of its presentation and content importance; elements
-    on fewer than ``least_pages`` pages of a host are not judged.
+    An element's importance is the larger of its presentation and content importance, raised by
+    ``RAISE`` in declared main text; elements on fewer than ``least_pages`` pages of a host are not
+    judged, where pages with the same declared main text count as one for the branches in it.
     """
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(host, *f) for host, text in zip(batch["host"], batch["html"], strict=True) for f in style_features(parse(text or ""))]
-            yield pd.DataFrame(rows, columns=["host", "path", "kind", "feature"])
+            yield pd.DataFrame(rows, columns=["host", "path", "kind", "feature", "article"])
 
-    seen = pages.where("host <> ''").select("host", "html").mapInPandas(features, "host string, path long, kind int, feature long")
-    counted = seen.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
-    looks = counted.where("kind = 0").groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log(F.col("n"))).alias("nlogn"))
+    seen = pages.where("host <> ''").select("host", "html").mapInPandas(features, "host string, path long, kind int, feature long, article long")
+    copies = seen.groupBy("host", "path", "kind", "feature", "article").agg(F.count(F.lit(1)).alias("n"))
+    counted = copies.groupBy("host", "path", "kind", "feature").agg(F.sum(F.when(F.col("article") == 0, F.col("n")).otherwise(1)).alias("n"), F.max(F.col("article") != 0).alias("declared"))
+    looks = counted.where("kind = 0").groupBy("host", "path").agg(F.max("declared").alias("declared"), F.sum("n").alias("m"), F.sum(F.col("n") * F.log(F.col("n"))).alias("nlogn"))
     said = counted.where("kind = 1").groupBy("host", "path").agg(F.sum("n").alias("k"), F.sum(F.col("n") * F.log(F.col("n"))).alias("klogk"))
     both = looks.where(F.col("m") >= least_pages).join(said, ["host", "path"], "left")
     presentation = (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")
     content = F.coalesce(1 - F.col("klogk") / F.col("k") / F.log("m"), F.lit(0.0))
     # A branch without texts of its own is removed only through its parts.
-    return both.where(F.col("k").isNotNull() & (F.greatest(presentation, content) < bound)).select("host", "path")
+    return both.where(F.col("k").isNotNull() & (F.greatest(presentation, content) + F.when(F.col("declared"), RAISE).otherwise(0.0) < bound)).select("host", "path")
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

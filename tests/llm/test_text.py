@@ -221,3 +221,18 @@ def test_articles_are_whole(spark):
         blocks = re.split(r"</?(?:h1|p)>", inner.replace("<br>", " "))
         want = [x for b in blocks if (x := " ".join(html.unescape(re.sub(r"</?b>", "", b)).split()))]
         assert web.main_blocks(web.parse(r["html"]), frozenset()) == want
+
+
+def test_what_a_host_repeats_inside_articles_goes(spark):
+    """Also under a class that no list names; articles that a host repeats, unique parts and plain words stay."""
+    body = "<body><nav>n{0}</nav><article><h1>Title {0}</h1><p>story <b>{0}</b> alpha</p><div class=kicker7>Read us <i>daily</i> at home<p class=own>part {0}</p></div><p>end {0}</p></article></body>"
+    rows = [(k, f"http://a.example/{k}", body.format(k)) for k in range(5)]
+    rows += [(10 + k, f"http://b.example/{k}", body.format("same")) for k in range(5)]
+    rows += [(20, "http://c.example/", body.format("single"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n\n") for r in web.extract_main_text(pages).collect()}
+    whole = lambda k: [f"Title {k}", f"story {k} alpha", "Read us daily at home", f"part {k}", f"end {k}"]
+    for k in range(5):
+        assert got[k] == [x for x in whole(k) if not x.startswith("Read")]
+        assert got[10 + k] == whole("same")
+    assert got[20] == whole("single")
