@@ -64,6 +64,10 @@ NOISE_WORDS = frozenset(
     " sidebar sidebars aside footer foot masthead topbar toolbar cookie cookies consent gdpr notice notices alert alerts popup modal overlay disclaimer share sharing social follow"
     " comment comments commentlist disqus respond replies related recommended recommendations recirc newsletter subscribe subscription signup login widget widgets pagination pager skip".split()
 )
+#: Names of lists that hold articles other than the page's own.
+LIST_WORDS = frozenset("comment comments commentlist disqus respond replies related recommended recommendations recirc".split())
+#: Class names that start so speak of another element: has-sidebar.
+STATES = ("has", "no", "with", "without")
 MAIN_WORDS = frozenset("article main".split())
 
 _TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", regex.S)
@@ -80,6 +84,7 @@ class Node:
     style: str
     prior: int  # -1 declared boilerplate, 1 declared main text, 0 undecided
     children: list = field(default_factory=list)
+    named: int = 0  # boilerplate by its class or id only: 1 by a part of a name, 2 by a whole name, 3 as a list
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -87,13 +92,16 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _element(tag: str, attributes: dict[str, str]) -> Node:
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    words = set(_SPLIT.split(names)) if names.strip() else set()
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+    parts = [p for x in names if (p := [w for w in _SPLIT.split(x) if w]) and p[0] not in STATES]
+    words = {w for p in parts for w in p} & NOISE_WORDS
     role = attributes.get("role", "").lower().strip()
     style = ".".join([tag, *sorted(attributes.get("class", "").lower().split())])
     hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
-    if tag not in ("html", "body") and (tag in NOISE_TAGS or role in NOISE_ROLES or words & NOISE_WORDS or hidden):
+    if tag not in ("html", "body") and (tag in NOISE_TAGS or role in NOISE_ROLES or hidden):
         return Node(tag, style, -1)
+    if tag not in ("html", "body") and words:
+        return Node(tag, style, -1, named=3 if words & LIST_WORDS else 2 if any(words.issuperset(p) for p in parts) else 1)
     if tag in MAIN_WORDS or role in MAIN_WORDS:
         return Node(tag, style, 1)
     return Node(tag, style, 0)
@@ -103,7 +111,7 @@ def parse(text: str) -> Node:
     """The element tree of a page.  Unclosed and stray tags are mended as browsers do, in outline;
     the unread rest of an unclosed script or comment belongs to it."""
     root = Node("#root", "", 0)
-    stack, at, n = [root], 0, len(text)
+    stack, at, n, named = [root], 0, len(text), False
     while at < n:
         m = _TOKEN.search(text, at)
         if m is None:
@@ -130,15 +138,44 @@ def parse(text: str) -> Node:
                     break
         node = _element(tag, _attributes(m[3] or ""))
         stack[-1].children.append(node)
+        named = named or node.named > 0
         if tag in RAW:
             end = regex.compile(rf"</{regex.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", regex.I).search(text, at)
             node.children.append(text[at : end.start() if end else n])
             at = end.end() if end else n
         elif tag not in VOID and not (m[3] or "").endswith("/"):
             stack.append(node)
+    if named:
+        _open_wrappers(root)
     return root
 
 
+def _open_wrappers(root: Node) -> None:
+    """Take the prior from elements that only a class or id calls boilerplate and that hold the
+    page's main text: a <main>, or an article where their name only has a listed word as a part or
+    where the page declares no other main text.  Lists of comments or related pages open for a
+    <main> only."""
+    order, stack = [], [(root, -1)]
+    while stack:
+        node, above = stack.pop()
+        if node.prior == -1 and not node.named:
+            continue
+        stack += [(c, len(order)) for c in node.children if isinstance(c, Node)]
+        order.append((node, above))
+    holds = [0] * len(order)  # 2 with a <main> inside, 1 with an article
+    for k in range(len(order) - 1, 0, -1):
+        node, above = order[k]
+        own = 0 if node.prior != 1 else 2 if node.tag == "main" else 1
+        holds[above] = max(holds[above], own, holds[k])
+    for (node, _), held in zip(order, holds, strict=True):
+        if (held == 2 and node.named) or (held == 1 and node.named == 1):
+            node.prior = 0
+    if not declared_main(root):
+        for (node, _), held in zip(order, holds, strict=True):
+            if held == 1 and node.named == 2:
+                node.prior = 0
+
+
 def declared_main(root: Node) -> list[Node]:
     """The outermost elements that declare themselves main text, not within boilerplate."""
     found, stack = [], [root]
@@ -148,18 +185,6 @@ def declared_main(root: Node) -> list[Node]:
             found.append(node)
         elif node.prior == 0:
             stack += [c for c in reversed(node.children) if isinstance(c, Node)]
-    inner = [m for top in found if top.tag == "main" for m in _articles(top)]
-    return inner if inner and all(top.tag == "main" for top in found) else found
-
-
-def _articles(top: Node) -> list[Node]:
-    found, stack = [], list(reversed([c for c in top.children if isinstance(c, Node)]))
-    while stack:
-        node = stack.pop()
-        if node.tag == "article" and node.prior == 1:
-            found.append(node)
-        elif node.prior >= 0:
-            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
     return found
 
 

@@ -236,3 +236,17 @@ def test_what_a_host_repeats_inside_articles_goes(spark):
         assert got[k] == [x for x in whole(k) if not x.startswith("Read")]
         assert got[10 + k] == whole("same")
     assert got[20] == whole("single")
+
+
+def test_wrappers_of_the_main_text_open():
+    def blocks(body):
+        return web.main_blocks(web.parse(f"<body><nav>Menu</nav>{body}<div class=sidebar><article>Teaser</article></div><footer>F</footer></body>"), frozenset())
+
+    for name in ("content-sidebar-wrap", "has-sidebar", "no-sidebar", "social-science", "notice-board"):
+        assert blocks(f"<div class={name}><main><article><p>Text</p></article></main></div>") == ["Text"]
+        assert blocks(f"<div id={name}><article><p>Text</p></article></div>") == ["Text"]
+        assert blocks(f"<main><div class={name}><article><p>A</p></article></div><article>B</article></main>") == ["A", "B"]
+    assert blocks("<div class=share><main>Text</main></div>") == ["Text"]
+    assert blocks("<main><h1>Head</h1><p>lead</p><article>Text<div class=ad>Buy</div></article><div class=related><article>Other</article></div></main>") == ["Head", "lead", "Text"]
+    lone = "<body><div class='layout sidebar'><article>Text</article></div><div class=comments><article>Nice</article></div></body>"
+    assert web.main_blocks(web.parse(lone), frozenset()) == ["Text"]
