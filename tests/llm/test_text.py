@@ -128,6 +128,15 @@ def test_rules_keep_clean_documents(spark):
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize(("size", "most"), [("0.001", 0.5), ("0.01", 0.2)])
+def test_rules_reject_labelled_junk_and_spare_held_out_clean_documents(spark, size, most):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf{size}/{t}.parquet") for t in ("documents", "labels"))
+    judged = rules.quality_rules(docs, labels.where("doc_id % 5 <> 0")).join(labels, "doc_id").where("not base_failed")
+    rows = judged.select("doc_id", "quality", "kept").collect()
+    assert np.mean([r["kept"] for r in rows if r["quality"] == 0]) < most
+    assert all(r["kept"] for r in rows if r["quality"] == 1)
+
+
 # Classifiers
 
 
