@@ -367,7 +367,7 @@ class ContactMapper:
         """Adds ``_extra``, the numbers inside texts: unmapped cells first, then normalised fields that are no phones."""
         texts = sorted(texts, key=lambda x: x[0])
         step = step.select("*", *(c.alias(f"_x{n}") for n, (_, _, c) in enumerate(texts)))
-        step = step.select("*", *(embedded_numbers(F.col(f"_x{n}"), region).alias(f"_e{n}") for n in range(len(texts))))
+        step = step.select("*", *(embedded_numbers(F.col(f"_x{n}"), region, longest=EMBEDDED_TEXT).alias(f"_e{n}") for n in range(len(texts))))
         if not texts:
             return step.select("*", F.array().cast("array<struct<header:string,e164:string>>").alias("_extra")), []
         none = F.array().cast("array<struct<start:int,end:int,raw:string,e164:string>>")

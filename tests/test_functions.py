@@ -100,3 +100,11 @@ def test_kernels_never_fail(text):
     format_e164(text, "US")
     shape_of(text, text)
     find_numbers(text)
+
+
+def test_embedded_numbers_of_whole_texts(spark):
+    from contactloom.functions import phones
+
+    text = "x" * 8190 + " +1 (202) 555-0123 " + "y " * 5000 + "+1 (202) 555-0124"
+    found = lambda **cap: [x["e164"] for x in spark.createDataFrame([(text,)], "t string").select(phones.embedded_numbers(F.col("t"), "US", 9, **cap)).first()[0]]
+    assert found() == ["+12025550123", "+12025550124"] and found(longest=8192) == []
