@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import persist, scratch_root
+from ..storage import discard, persist, scratch_root
 
-__all__ = ["fold_of", "free_name", "persist", "quoted", "scratch_path", "table"]
+__all__ = ["discard", "fold_of", "free_name", "persist", "quoted", "scratch_path", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
