@@ -9,14 +9,16 @@ differ in at most ``chain - 1`` bits, so of ``parts`` equal pieces of them all b
 agree.  Candidates meet by equality of these masked keys, must then pass every budget of their
 chain, and only then the full Hamming check.  The filter is exact: no pair is lost.
 
-Keys that many different fingerprints share are cut into blocks, and block pairs return spanning
-forests instead of all their pairs, so work and output of one task stay bounded.
+Keys that many different fingerprints share are lengthened by further segments of the chain.  Other
+shared keys return spanning forests of one block, and what the longest keys leave is cut into blocks
+whose pairs return spanning forests, so work and output of one task stay bounded.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, persist, quoted, table
+from .common import discard, free_name, persist, quoted, table
 from .graph import connected_components
 
 BITS = 64
@@ -113,15 +115,18 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64))  # of signed numbers it would count the absolute value's
 
 
-def block_forest(left: np.ndarray, right: np.ndarray | None, max_bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links inside ``left`` (right None) or between two blocks.
+def block_forest(left: np.ndarray, right: np.ndarray | None, max_bits: int, start: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links inside ``left`` (right None) or between two blocks that have
+    their chain from segment ``start``.
 
-    Breadth-first search over whole rows of distances: each vertex is expanded once, so at most
-    one edge a vertex is returned and memory stays at one row.
+    Breadth-first search over whole rows of candidates: each vertex is expanded once, candidates
+    fall one chain budget after the other before the full Hamming check, at most one edge a vertex
+    is returned and memory stays at one row.
     """
     cross = right is not None
     nodes = np.concatenate([left, right]) if cross else left
     side = np.r_[np.zeros(len(left), bool), np.ones(len(nodes) - len(left), bool)]
+    budgets = [(np.int64(_signed(mask)), n * max_bits // (max_bits + 1)) for n, mask in enumerate(chain_masks(max_bits)[start], 1)]
     unseen = np.ones(len(nodes), bool)
     edges: list[tuple[int, int]] = []
     for root in range(len(nodes)):
@@ -131,49 +136,90 @@ def block_forest(left: np.ndarray, right: np.ndarray | None, max_bits: int) -> l
         queue = [root]
         while queue:
             v = queue.pop()
-            rest = np.nonzero(unseen & (side != side[v]) if cross else unseen)[0]
-            near = rest[_popcount(nodes[rest] ^ nodes[v]) <= max_bits]
+            near = np.nonzero(unseen & (side != side[v]) if cross else unseen)[0]
+            apart = nodes[near] ^ nodes[v]
+            for mask, budget in budgets:  # the last chain is the whole ring
+                kept = _popcount(apart & mask) <= budget
+                near, apart = near[kept], apart[kept]
+            near = near[_popcount(apart) <= max_bits]
             unseen[near] = False
             edges += [(int(nodes[v]), int(nodes[u])) for u in near]
             queue += near.tolist()
     return edges
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = 4, chain: int | None = None, parts: int | None = None) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column ``fp``, LONG) that span every component
-    of the graph "differ in at most ``max_bits`` bits".
+def key_bits(max_bits: int, chain: int, parts: int) -> int:
+    """Bits that must agree in the narrowest index key of a level."""
+    return min(mask.bit_count() for _, mask in key_masks(max_bits, chain, parts))
 
-    ``chain`` and ``parts`` set the width of the index keys; by default they widen with the number
-    of fingerprints (about 22 key bits up to 4 million, 29 beyond), which changes the work only.
-    """
-    fps = fps.select("fp").where("fp is not null").distinct()
-    if chain is None:
-        chain, parts = (2, 3) if fps.count() <= 1 << 22 else (3, 5)
-    masks = key_masks(max_bits, min(chain, max_bits + 1), parts or 3)
-    keys = F.array(*(F.struct(F.lit(n).alias("m"), F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("k")) for n, (i, mask) in enumerate(masks)))
-    keyed = fps.select("fp", F.explode(keys).alias("x")).select("fp", "x.m", "x.i", "x.k")
-    shared = keyed.groupBy("m", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = persist(keyed.join(shared, ["m", "k"]), "simhash-keys")
-
-    few = met.where(F.col("n") <= SMALL_BUCKET)
+
+def ladder(max_bits: int) -> list[tuple[int, int]]:
+    """(chain, parts) of the levels of index keys, from the narrowest (22 bits at four bits of
+    difference) to the widest (38)."""
+    return list(dict.fromkeys((min(chain, max_bits + 1), parts) for chain, parts in ((2, 3), (3, 5), (4, 7), (5, 8))))
+
+
+def _keyed(wanted: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
+    """fp, i, m, k of each (fp, start segment i): every key of that start."""
+    starts = range(max(i for i, _ in masks) + 1)
+    of_start = [", ".join(f"struct({n} AS m, {_signed(mask)}L AS mask)" for n, (j, mask) in enumerate(masks) if j == i) for i in starts]
+    of_start = F.expr(f"array({', '.join(f'array({keys})' for keys in of_start)})")  # one literal of the plan
+    keys = wanted.select("fp", "i", F.explode(F.get(of_start, F.col("i"))).alias("x"))
+    return keys.select("fp", "i", "x.m", F.col("fp").bitwiseAND(F.col("x.mask")).alias("k"))
+
+
+def _pairs(few: DataFrame, max_bits: int) -> DataFrame:
+    """Links within small buckets, by budgets and then the Hamming check."""
     a = few.select("m", "k", "i", F.col("fp").alias("a"))
     b = few.select("m", "k", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    pairs = a.join(b, ["m", "k"]).where((F.col("a") < F.col("b")) & within_budgets(F.col("i"), F.col("a"), F.col("b"), max_bits) & near)
+    found = a.join(b, ["m", "k"]).where((F.col("a") < F.col("b")) & within_budgets(F.col("i"), F.col("a"), F.col("b"), max_bits) & near)
+    return found.select("a", "b")
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    many = met.where(F.col("n") > SMALL_BUCKET).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    many = many.select("fp", "m", "k", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    many = many.select("fp", "m", "k", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+def _spans(many: DataFrame, max_bits: int) -> DataFrame:
+    """Spanning forests of larger buckets: of one block, or of each pair of a bucket's blocks."""
+    many = many.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    many = many.select("fp", "i", "m", "k", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    many = many.select("fp", "i", "m", "k", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
     def forest(group: pd.DataFrame) -> pd.DataFrame:
-        fp, first = group["fp"].to_numpy(), (group["own"] == group["lo"]).to_numpy()
+        fp, first, start = group["fp"].to_numpy(), (group["own"] == group["lo"]).to_numpy(), int(group["i"].iloc[0])
         one_block = bool((group["lo"] == group["hi"]).iloc[0])
-        edges = block_forest(fp, None, max_bits) if one_block else block_forest(fp[first], fp[~first], max_bits)
+        edges = block_forest(fp, None, max_bits, start) if one_block else block_forest(fp[first], fp[~first], max_bits, start)
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
-    spans = many.groupBy("m", "k", "lo", "hi").applyInPandas(forest, "a long, b long")
-    return pairs.select("a", "b").union(spans)
+    return many.groupBy("m", "k", "lo", "hi").applyInPandas(forest, "a long, b long")
+
+
+def fingerprint_links(fps: DataFrame, max_bits: int = 4, level: int | None = None) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (column ``fp``, LONG) that span every component
+    of the graph "differ in at most ``max_bits`` bits".
+
+    Index keys stand on a ladder of longer chains.  Work starts on the rung (``level``) whose keys
+    have about as many values as there are fingerprints; a bucket that holds more than one block is
+    keyed again, from the same start segment, on the next rung, since a pair within all budgets
+    also agrees in one of its longer keys.  What the last rung leaves is compared block by block.
+    """
+    fps = persist(fps.select("fp").where("fp is not null").distinct(), "simhash-distinct")
+    rungs = ladder(max_bits)
+    if level is None:
+        n = fps.count()
+        level = next((k for k, (chain, parts) in enumerate(rungs) if n <= 1 << key_bits(max_bits, chain, parts)), len(rungs) - 1)
+    wanted, found = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(max_bits))).alias("i")), []
+    for chain, parts in rungs[level:]:
+        keyed = _keyed(wanted, key_masks(max_bits, chain, parts))
+        # Written, so that the join can be split where many fingerprints share a key.
+        shared = persist(keyed.groupBy("m", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-shared")
+        met = persist(keyed.join(shared, ["m", "k"]), "simhash-keys")
+        discard(shared)
+        large = F.col("n") > BLOCK
+        last = (chain, parts) == rungs[-1] or met.where(large).isEmpty()
+        found += [_pairs(met.where(F.col("n") <= SMALL_BUCKET), max_bits), _spans(met.where((F.col("n") > SMALL_BUCKET) & (F.lit(last) | ~large)), max_bits)]
+        if last:
+            break
+        wanted = persist(met.where(large).select("fp", "i").distinct(), "simhash-wanted")
+    return reduce(DataFrame.union, found)
 
 
 def fingerprint_components(fps: DataFrame, max_bits: int = 4) -> DataFrame:
@@ -191,11 +237,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows come back as often as they came; other columns of ``docs`` are not touched.
     """
     rows = persist(docs.select(quoted(id_col).alias("id"), fingerprint_column(quoted(text_col), shingle).alias("fp")), "simhash-rows")
-    lowest = rows.groupBy("fp").agg(F.min("id").alias("id"))
+    lowest = persist(rows.groupBy("fp").agg(F.min("id").alias("id")), "simhash-lowest")
     roots = fingerprint_components(lowest.select("fp"), max_bits)
     of_fp = persist(lowest.join(roots, "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root")), "simhash-roots")
-    of_root = of_fp.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = of_fp.join(of_root, "root").select("fp", "component_id")
+    of_root = persist(of_fp.groupBy("root").agg(F.min("id").alias("component_id")), "simhash-components")
+    named = persist(of_fp.join(of_root, "root").select("fp", "component_id"), "simhash-named")
+    discard(of_fp, of_root)
     joined = rows.join(named, "fp")
     return joined.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -208,6 +255,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     marked = persist(marked, "simhash-docs")  # from here on the row numbers stand
     first = F.min(F.struct(quoted(id_col).isNull().alias("none"), quoted(id_col).alias("id"), F.col(row).alias("row"))).alias("x")
     lowest = marked.groupBy(F.col(fp).alias("fp")).agg(first)
+    lowest = persist(lowest, "simhash-lowest")
     roots = fingerprint_components(lowest.select("fp"), max_bits)
     kept = lowest.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("x").alias("x"))
     stay = marked.join(kept.select(F.col("x.row").alias(row)), row, "left_semi")

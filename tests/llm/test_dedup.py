@@ -53,7 +53,8 @@ def test_spark_hash_is_the_same(spark):
 
 def test_key_masks_lose_no_pair():
     rng = random.Random(5)
-    for chain, parts in ((2, 3), (3, 5)):
+    assert [simhash.key_bits(4, *rung) for rung in simhash.ladder(4)] == sorted(simhash.key_bits(4, *rung) for rung in simhash.ladder(4))
+    for chain, parts in simhash.ladder(4):
         masks = simhash.key_masks(4, chain, parts)
         for _ in range(3000):
             diff = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4)))
@@ -74,18 +75,31 @@ def fingerprints(rng, n):
     return [v - (1 << 64) if v >> 63 else v for v in out]
 
 
-@pytest.mark.parametrize("small,block", [(64, 2048), (1, 7)])
-def test_links_span_brute_components(spark, monkeypatch, small, block):
+@pytest.mark.parametrize("small,block,bits", [(64, 2048, 4), (3, 16, 4), (4, 24, 2), (64, 2048, 0)])
+def test_links_span_brute_components(spark, monkeypatch, small, block, bits):
     monkeypatch.setattr(simhash, "SMALL_BUCKET", small)
     monkeypatch.setattr(simhash, "BLOCK", block)
     rng = random.Random(small)
     fps = fingerprints(rng, 40) + [k << 2 for k in range(40)]
     fps = sorted(set(fps))
-    found = {r["fp"]: r["root"] for r in simhash.fingerprint_components(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
-    want = brute_components(fps, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 4)
+    found = {r["fp"]: r["root"] for r in simhash.fingerprint_components(spark.createDataFrame([(f,) for f in fps], "fp long"), bits).collect()}
+    want = brute_components(fps, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= bits)
     assert {f: found.get(f, f) for f in fps} == want
 
 
+def test_forests_keep_to_their_chain():
+    rng = random.Random(3)
+    fps = np.array(sorted(set(fingerprints(rng, 30))), dtype=np.int64)
+    linked = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 4
+    chains = simhash.chain_masks(4)
+    for start in range(5):
+        held = lambda a, b: linked(a, b) and all(((a ^ b) & c).bit_count() <= n * 4 // 5 for n, c in enumerate(chains[start], 1))  # noqa: B023, E731
+        edges = simhash.block_forest(fps, None, 4, start)
+        assert all(held(a, b) for a, b in edges)
+        want = brute_components(fps.tolist(), held)
+        assert len(edges) == len(want) - len(set(want.values()))
+
+
 def test_simhash_groups(spark):
     rows = [(9, "q r s t u v"), (3, "q r s t u v"), (5, None), (6, ""), (None, "q r s t u v"), (None, "lonely words with no friend at all"), (3, "q r s t u v")]
     docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id long, text string, fingerprint string, component_id int, FP int")
