@@ -16,14 +16,14 @@ from functools import lru_cache
 from struct import pack
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-
 from .common import quoted, table
 
 MEMO_WORDS = 1_000_000
+ARROW = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "ids": pa.list_(pa.int32()), "decoded": pa.string()}
 #: The pre-tokenizer's split; ``\\s`` is spelt out because libraries differ on control characters.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -151,24 +151,26 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     ``keep`` also ``ids`` (ARRAY<INT>) and ``decoded``.  A null text counts as empty, whose ids are
     empty; nothing is dropped, cut or reordered, and other columns are not touched."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                packed = bpe.packed(text or "")
-                ids = np.frombuffer(packed, dtype="<u4").tolist()
-                decoded = bpe.decode(ids)
-                digest = hashlib.sha256(packed).hexdigest()
-                rows.append((len(ids), digest, hashlib.sha256(decoded.encode("utf-8")).hexdigest(), *((ids, decoded) if keep else ())))
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep else [])]
-            made = pd.DataFrame(rows, columns=names)
-            made.insert(0, "id", batch["id"].to_numpy())
-            yield made
+            made: dict[str, list] = {name: [] for name in ("n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if keep else ()))}
+            for text in batch.column("text"):
+                packed = bpe.packed(text.as_py() or "")
+                ids = np.frombuffer(packed, dtype="<u4")
+                decoded = bpe.decode(ids.tolist())
+                made["n_tokens"].append(len(ids))
+                made["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
+                made["decoded_sha256"].append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
+                if keep:
+                    made["ids"].append(ids.astype(np.int32))
+                    made["decoded"].append(decoded)
+            # The id stays an Arrow column: pandas would make floats of longs beside a null.
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, ARROW[name]) for name, x in made.items())], ["id", *made])
 
     source = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     schema = f"id {source.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
-    return source.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

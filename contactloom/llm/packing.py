@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,6 +32,10 @@ from .common import persist, quoted, table
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa0-\xac\xae-ſ‐-‧€]*")
 
 
+#: Columns of a piece after its id.
+PIECE = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "part": pa.int32(), "rank": pa.int64()}
+
+
 class TokenIds:
     """Token ids as the tokenizers library gives them, faster for plain texts.
 
@@ -75,25 +80,34 @@ def token_ids(path: str) -> TokenIds:
 def pieces_of(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col: str, text_col: str, keep_ids: bool) -> DataFrame:
     """id, piece, start, length, ids_crc32, and a rank among equal lengths within the partition."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seen = token_ids(vocabulary), defaultdict(int)
         part = TaskContext.get().partitionId()
         for batch in batches:
-            rows = []
-            for key, text in zip(batch["id"], batch["text"], strict=True):
-                ids = np.array([*encode(text or ""), end_id], dtype="<u4")
+            row_of, rows, own_ids = [], [], []
+            for row, text in enumerate(batch.column("text")):
+                ids = np.array([*encode(text.as_py() or ""), end_id], dtype="<u4")
                 at, piece = 0, 0
                 end = len(ids) % capacity or capacity
                 while at < len(ids):
                     own = ids[at:end]
-                    rows.append((key, piece, at, len(own), zlib.crc32(own.tobytes()), part, seen[len(own)], *((own.astype(np.int64),) if keep_ids else ())))
+                    row_of.append(row)
+                    rows.append((piece, at, len(own), zlib.crc32(own.tobytes()), part, seen[len(own)]))
+                    if keep_ids:
+                        own_ids.append(own.astype(np.int64))
                     seen[len(own)] += 1
                     at, end, piece = end, end + capacity, piece + 1
-            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", "part", "rank", *(["ids"] if keep_ids else [])])
+            numbers = np.array(rows, dtype=np.int64).reshape(-1, len(PIECE)).T
+            # The id stays an Arrow column: pandas would make floats of longs beside a null.
+            made = {"id": batch.column("id").take(pa.array(row_of, pa.int64()))}
+            made |= {name: pa.array(x, kind) for (name, kind), x in zip(PIECE.items(), numbers, strict=True)}
+            if keep_ids:
+                made["ids"] = pa.array(own_ids, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(list(made.values()), list(made))
 
     source = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInPandas(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids array<long>" * keep_ids)
+    return source.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids array<long>" * keep_ids)
 
 
 def fullest(lengths: list[int], counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:

@@ -37,6 +37,14 @@ def test_encode_documents(spark):
     assert encode_documents(docs.limit(0), BYTES).count() == 0
 
 
+@pytest.mark.parametrize(("kind", "ids"), [("long", [(1 << 53) + 1, None, -(1 << 63), (1 << 63) - 1]), ("string", ["9007199254740993", None, ""]), ("int", [7, None])])
+def test_ids_come_back_as_they_were(spark, kind, ids):
+    docs = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], f"doc_id {kind}, text string").coalesce(1)
+    for made in (encode_documents(docs, BYTES, keep=False), packing.pack(docs, BYTES, keep_ids=False), packing.pack(docs, BYTES, capacity=2)):
+        assert made.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+        assert {r["doc_id"] for r in made.collect()} == set(ids)
+
+
 def test_counts_are_the_library():
     library, own = Tokenizer.from_file(WORDS), token_counts.counter(WORDS)
     for t in TEXTS + fuzz(1500):
