@@ -19,6 +19,7 @@ repeats stay whole.
 from __future__ import annotations
 
 import html as entities
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -109,41 +110,48 @@ def _element(tag: str, attributes: dict[str, str]) -> Node:
 
 def parse(text: str) -> Node:
     """The element tree of a page.  Unclosed and stray tags are mended as browsers do, in outline;
-    the unread rest of an unclosed script or comment belongs to it."""
+    the unread rest of an unclosed script or comment belongs to it.  Time is linear in the text."""
     root = Node("#root", "", 0)
     stack, at, n, named = [root], 0, len(text), False
+    places: dict[str, list[int]] = {}  # of the open elements of each tag, so that no tag walks the stack
+
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
+
+    def add(child: Node | str) -> None:
+        stack[-1].children.append(child)
+
     while at < n:
         m = _TOKEN.search(text, at)
         if m is None:
-            stack[-1].children.append(text[at:])
+            add(text[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(text[at : m.start()])
+            add(text[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue  # comment, doctype or processing instruction
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if places.get(tag):
+                cut(places[tag][-1])
             continue
         if tag in CLOSES:
             gone, scope = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in gone:
-                    del stack[k:]
-                elif stack[k].tag in scope or stack[k].tag in BLOCKS - set(gone):
-                    break
+            wall = max((own[-1] for t, own in places.items() if own and t not in gone and (t in scope or t in BLOCKS)), default=0)
+            above = [own[k] for t in gone if (own := places.get(t)) and (k := bisect_right(own, wall)) < len(own)]
+            if above:
+                cut(min(above))
         node = _element(tag, _attributes(m[3] or ""))
-        stack[-1].children.append(node)
+        add(node)
         named = named or node.named > 0
         if tag in RAW:
             end = regex.compile(rf"</{regex.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", regex.I).search(text, at)
             node.children.append(text[at : end.start() if end else n])
             at = end.end() if end else n
         elif tag not in VOID and not (m[3] or "").endswith("/"):
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
     if named:
         _open_wrappers(root)
@@ -315,16 +323,18 @@ def low_branches(pages: DataFrame, bound: float = BOUND, least_pages: int = LEAS
     seen = pages.where("host <> ''").select("host", "html").mapInPandas(features, "host string, path long, kind int, feature long, article long")
     copies = seen.groupBy("host", "path", "kind", "feature", "article").agg(F.count(F.lit(1)).alias("n"))
     counted = copies.groupBy("host", "path", "kind", "feature").agg(F.sum(F.when(F.col("article") == 0, F.col("n")).otherwise(1)).alias("n"), F.max(F.col("article") != 0).alias("declared"))
-    looks = counted.where("kind = 0").groupBy("host", "path").agg(F.max("declared").alias("declared"), F.sum("n").alias("m"), F.sum(F.col("n") * F.log(F.col("n"))).alias("nlogn"))
-    said = counted.where("kind = 1").groupBy("host", "path").agg(F.sum("n").alias("k"), F.sum(F.col("n") * F.log(F.col("n"))).alias("klogk"))
-    both = looks.where(F.col("m") >= least_pages).join(said, ["host", "path"], "left")
+    # Both kinds in one aggregation: two would parse every page twice.
+    n, nlogn = F.col("n"), F.col("n") * F.log(F.col("n"))
+    looks, said = F.col("kind") == 0, F.col("kind") == 1
+    sums = (F.max(F.when(looks, F.col("declared"))).alias("declared"), F.sum(F.when(looks, n)).alias("m"), F.sum(F.when(looks, nlogn)).alias("nlogn"), F.sum(F.when(said, n)).alias("k"), F.sum(F.when(said, nlogn)).alias("klogk"))
+    both = counted.groupBy("host", "path").agg(*sums).where(F.col("m") >= least_pages)
     presentation = (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")
     content = F.coalesce(1 - F.col("klogk") / F.col("k") / F.log("m"), F.lit(0.0))
     # A branch without texts of its own is removed only through its parts.
     return both.where(F.col("k").isNotNull() & (F.greatest(presentation, content) + F.when(F.col("declared"), RAISE).otherwise(0.0) < bound)).select("host", "path")
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", bound: float = BOUND, least_pages: int = LEAST_PAGES) -> DataFrame:
     """One row per row of ``pages``: the id, url, text (blocks joined by two line ends; empty if
     none) and n_chars.
 
@@ -332,7 +342,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     only.  Rows with null or repeated ids each get their row; extra columns are not touched.
     """
     rows = pages.select(quoted(id_col).alias("id"), quoted(url_col).alias("url"), quoted(html_col).alias("html"), host_of(quoted(url_col)).alias("host"))
-    low = persist(low_branches(rows), "style-low").groupBy("host").agg(F.collect_set("path").alias("low"))
+    # One row a host, written: where it is too large to broadcast, a join with a written table can
+    # be split at a host that has many pages.
+    low = persist(low_branches(rows, bound, least_pages).groupBy("host").agg(F.collect_set("path").alias("low")), "style-low")
 
     @F.pandas_udf("string")
     def main_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

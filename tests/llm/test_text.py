@@ -259,3 +259,87 @@ def test_wrappers_of_the_main_text_open():
     assert blocks("<main><h1>Head</h1><p>lead</p><article>Text<div class=ad>Buy</div></article><div class=related><article>Other</article></div></main>") == ["Head", "lead", "Text"]
     lone = "<body><div class='layout sidebar'><article>Text</article></div><div class=comments><article>Nice</article></div></body>"
     assert web.main_blocks(web.parse(lone), frozenset()) == ["Text"]
+
+
+def test_parsing_takes_linear_time():
+    import time
+
+    start = time.monotonic()
+    for text in ("<div>" * 20_000 + "</x>" * 20_000, "<b>" * 20_000 + "<p>" * 20_000, "<li>" * 20_000 + "</ul>" * 20_000, "<ul><li>" * 10_000 + "</p>" * 10_000):
+        web.main_blocks(web.parse(text), frozenset())
+    assert time.monotonic() - start < 20
+
+
+def test_open_elements_against_a_walk_of_the_stack():
+    import random
+
+    def outline(text):
+        """Depth of each element, by walking the whole stack at each tag."""
+        stack, out = [], []
+        for shut, tag in re.findall(r"<(/?)([a-z]+)>", text):
+            if shut:
+                if tag in stack:
+                    del stack[len(stack) - 1 - stack[::-1].index(tag) :]
+                continue
+            gone, scope = web.CLOSES.get(tag, ((), ()))
+            k = len(stack)
+            while gone and k and (stack[k - 1] in gone or stack[k - 1] not in {*scope, *web.BLOCKS}):
+                k -= 1
+                if stack[k] in gone:
+                    del stack[k:]
+            out.append((len(stack), tag))
+            stack.append(tag)
+        return out
+
+    def depths(node, depth=0):
+        return [x for c in node.children for x in ([(depth, c.tag), *depths(c, depth + 1)])]
+
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choice(["<{}>", "<{}>", "</{}>"]).format(rng.choice("div p li ul td tr table b dd dl tbody".split())) for _ in range(40))
+        assert depths(web.parse(text)) == outline(text)
+
+
+def plain_site():
+    """A host that declares nothing: a shop line and a menu on all pages, stories that differ, and a
+    section whose look differs while its words are few."""
+    page = "<body><div class=m1><a>Home</a><a>Shop</a></div><div class=w1>Terms of this shop</div><div class=w2><p>story {0}</p>{1}</div><div class=w3>{2}</div></body>"
+    looks = ["<p>x{0}</p>", "<ul><li>x{0}</ul>", "<h2>x{0}</h2><p>y{0}</p>", ""]
+    return [(k, f"http://plain.example/{k}", page.format(k, looks[k % 4].format(k), ["even", "odd"][k % 2])) for k in range(8)]
+
+
+def test_importance_against_brute_force(spark):
+    from collections import defaultdict
+    from math import log
+
+    rows = plain_site() + [(20 + k, f"http://art.example/{k}", f"<article><p class=a>own {k}</p><p class=b>Read us</p></article>") for k in range(5)] + [(30, "http://few.example", "<p>x"), (31, "http://few.example/2", "<p>x")]
+    host = lambda url: url.split("/")[2]
+    shows: dict = defaultdict(list)
+    for _, url, text in rows:
+        for path, kind, feature, article in web.style_features(web.parse(text)):
+            shows[host(url), path].append((kind, feature, article))
+    want = set()
+    for key, seen in shows.items():
+        looks, said = (Counter(f for kind, f, _ in seen if kind == k) for k in (0, 1))
+        m = sum(looks.values())
+        if m < web.LEAST_PAGES or not said:
+            continue
+        presentation = -sum(c / m * log(c / m, m) for c in looks.values())
+        content = 1 - sum(c * log(c, m) for c in said.values()) / sum(said.values())
+        if max(presentation, content) + (web.RAISE if any(a for *_, a in seen) else 0) < web.BOUND:
+            want.add(key)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", web.host_of(web.quoted("url")))
+    got = {(r["host"], r["path"]) for r in web.low_branches(pages).collect()}
+    assert got == want and len(want) >= 3 and {h for h, _ in want} == {"plain.example", "art.example"}
+
+
+def test_what_goes_without_the_tree(spark):
+    """Ablation: with a bound of zero no branch goes, and pages of hosts that declare nothing keep
+    what the host repeats."""
+    pages = spark.createDataFrame(plain_site(), "page_id long, url string, html string")
+    judged = {r["page_id"]: r["text"] for r in web.extract_main_text(pages).collect()}
+    bare = {r["page_id"]: r["text"] for r in web.extract_main_text(pages, bound=0.0).collect()}
+    for k in judged:
+        assert "Terms of this shop" in bare[k] and "Home" in bare[k]
+        assert "Terms" not in judged[k] and "Home" not in judged[k] and judged[k].startswith(f"story {k}")
+    assert all(judged[k] != bare[k] for k in judged)
