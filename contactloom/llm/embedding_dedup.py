@@ -6,30 +6,35 @@ together, level by level: a pair of nodes whose centres lie farther apart than t
 plus both covering radii holds no link and is dropped with all below it.  The survivors are points,
 which are tested in double precision.
 
-Equal vectors are merged first and carry their number.  Vectors of one label and length are dealt
-into blocks of bounded size; a task holds two blocks, and returns sums of links for each vector and
-a spanning forest, never the list of all pairs.  Labels of many blocks first get a top level of the
-tree for all of them: a bounded number of pivots, each vector in the cell of its nearest one; cells
-whose covering radii keep them apart are never brought together.
+Equal vectors are merged first and carry their number.  Large labels have a top level of the tree
+for all of them: a bounded number of pivots, each vector in the cell of its nearest one.  Cells are
+dealt into blocks of bounded size; the tree of a block is built once and stored with it.  Pairs of
+blocks fall by the bounds of their roots before any vector is moved; those left are compared in
+tiles of a few blocks by a few, so that a block is sent once for each tile, not for each partner.
+A tile returns sums of links for each vector and a spanning forest, never the list of all pairs.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import persist, quoted, table
+from .common import discard, persist, quoted, table
 from .graph import connected_components
 
-BLOCK = 2_048
-#: Labels of more blocks than this get pivots: at most so many each, and in all.
-PIVOTED_BLOCKS, LABEL_PIVOTS, ALL_PIVOTS = 8, 256, 4_096
+#: A block holds at most so many vectors, and fewer where they are long.
+BLOCK, BLOCK_NUMBERS = 2_048, 1 << 20
+#: Blocks along each side of a tile.
+TILE = 4
+#: Pivots of a label that needs several blocks, and of all labels.
+LABEL_PIVOTS, ALL_PIVOTS = 256, 4_096
 #: Room for rounding of single-precision distances; what passes is tested again in double.
 SLACK = 2e-3
 
@@ -43,37 +48,53 @@ class Level:
     radius: np.ndarray
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances between unit vectors by their inner products."""
+    return np.sqrt(np.maximum(0, 2 - 2 * (a @ b.T)))
+
+
 def cover_tree(unit: np.ndarray, finest: float) -> list[Level]:
     """Levels of radius 2, 1, 1/2, ... down to ``finest``, then the points themselves.
 
-    Centres of a level stay centres below it (nesting), lie farther apart than its radius within
-    their parent (separation), and hold each member within it (covering).
+    Centres of a level stay centres below it (nesting), lie farther apart than its radius
+    (separation), and each point has one within it (covering).  Distances are computed from new
+    centres to points that no centre covers yet, never for all pairs beforehand.
     """
     n = len(unit)
-    far = np.sqrt(np.maximum(0, 2 - 2 * (unit @ unit.T)))
-    levels = [Level(np.zeros(1, np.int64), np.zeros(1, np.int64), far[:1].max(axis=1))]
-    nodes, radius = [np.arange(n)], 2.0
-    while radius / 2 >= finest and any(len(m) > 1 for m in nodes):
+    centre, owner, far = np.zeros(1, np.int64), np.zeros(n, np.int64), _apart(unit, unit[:1])[:, 0]
+    far[0] = 0  # rounding may say otherwise
+    centres, parents, radius = [centre], [np.zeros(1, np.int64)], 2.0
+    while radius / 2 >= finest and len(centre) < n:
         radius /= 2
-        centre, parent, below = [], [], []
-        for p, members in enumerate(nodes):
-            rest, c = members, int(levels[-1].centre[p])
-            while len(rest):
-                near = far[c, rest] <= radius
-                near |= rest == c
-                centre.append(c)
-                parent.append(p)
-                below.append(rest[near])
-                rest = rest[~near]
-                c = int(rest[0]) if len(rest) else -1
-        reach = np.array([far[c, m].max() for c, m in zip(centre, below, strict=True)])
-        levels.append(Level(np.array(centre), np.array(parent), reach))
-        nodes = below
-    owner = np.empty(n, np.int64)
-    for k, members in enumerate(nodes):
-        owner[members] = k
-    levels.append(Level(np.arange(n), owner, np.zeros(n, unit.dtype)))
-    return levels
+        open_ = np.nonzero(far > radius)[0]
+        if len(open_) and len(centre) > 1:  # another centre may cover them
+            from_centres = _apart(unit[open_], unit[centre])
+            best = from_centres.argmin(axis=1)
+            near = from_centres[np.arange(len(open_)), best]
+            hit = near <= radius
+            owner[open_[hit]], far[open_[hit]] = best[hit], near[hit]
+            open_ = open_[~hit]
+        new, above = [], []
+        while len(open_):
+            c = open_[0]
+            reach = _apart(unit[open_], unit[c : c + 1])[:, 0]
+            reach[0] = 0
+            hit = reach <= radius
+            new.append(c)
+            above.append(owner[c])
+            owner[open_[hit]], far[open_[hit]] = len(centre) + len(new) - 1, reach[hit]
+            open_ = open_[~hit]
+        parents.append(np.r_[np.arange(len(centre)), np.array(above, np.int64)])
+        centre = np.r_[centre, np.array(new, np.int64)]
+        centres.append(centre)
+    levels = [Level(np.arange(n), owner, np.zeros(n, unit.dtype))]
+    for centre, parent in zip(reversed(centres), reversed(parents), strict=True):
+        gap = np.sqrt(((unit - unit[centre[owner]]) ** 2).sum(axis=1))
+        reach = np.zeros(len(centre), unit.dtype)
+        np.maximum.at(reach, owner, gap)
+        levels.append(Level(centre, parent, reach))
+        owner = parent[owner]
+    return levels[::-1]
 
 
 def dual_traversal(a: np.ndarray, b: np.ndarray, left: list[Level], right: list[Level], link: float) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +112,7 @@ def dual_traversal(a: np.ndarray, b: np.ndarray, left: list[Level], right: list[
         rows, cols = np.nonzero(alive.any(axis=1))[0], np.nonzero(alive.any(axis=0))[0]
         if not len(rows):
             return rows, cols
-        apart = np.sqrt(np.maximum(0, 2 - 2 * (a[x.centre[rows]] @ b[y.centre[cols]].T)))
+        apart = _apart(a[x.centre[rows]], b[y.centre[cols]])
         near = apart <= link + SLACK + x.radius[rows][:, None] + y.radius[cols][None, :]
         kept = np.zeros_like(alive)
         kept[np.ix_(rows, cols)] = near
@@ -99,25 +120,42 @@ def dual_traversal(a: np.ndarray, b: np.ndarray, left: list[Level], right: list[
     return np.nonzero(alive)
 
 
-def links_between(raw_a: np.ndarray, raw_b: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Exact links (rows of a, rows of b); inside ``raw_a``, each pair once, where b is None."""
-    norm_a = np.sqrt((raw_a * raw_a).sum(axis=1))
-    unit_a = (raw_a / norm_a[:, None]).astype(np.float32)
-    link = math.sqrt(max(0.0, 2 - 2 * threshold))
-    left = cover_tree(unit_a, link / 4)
-    if raw_b is None:
-        raw_b, norm_b, unit_b, right = raw_a, norm_a, unit_a, left
-    else:
-        norm_b = np.sqrt((raw_b * raw_b).sum(axis=1))
-        unit_b = (raw_b / norm_b[:, None]).astype(np.float32)
-        right = cover_tree(unit_b, link / 4)
-    i, j = dual_traversal(unit_a, unit_b, left, right, link)
-    if raw_b is raw_a:
+@dataclass
+class Block:
+    """Vectors with their numbers of copies, and the cover tree of their directions."""
+
+    rep: np.ndarray
+    times: np.ndarray
+    raw: np.ndarray  # scaled by powers of two, so that no square over- or underflows
+    norm: np.ndarray
+    unit: np.ndarray
+    levels: list[Level]
+
+
+def make_block(rep: np.ndarray, times: np.ndarray, raw: np.ndarray, threshold: float) -> Block:
+    """A block with its tree, whose root is the vector nearest to the mean."""
+    raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1))[1][:, None])
+    norm = np.sqrt((raw * raw).sum(axis=1))
+    unit = (raw / norm[:, None]).astype(np.float32)
+    order = np.argsort(-(unit @ unit.mean(axis=0)), kind="stable")
+    rep, times, raw, norm, unit = (x[order] for x in (rep, times, raw, norm, unit))
+    return Block(rep, times, raw, norm, unit, cover_tree(unit, link_distance(threshold) / 4))
+
+
+def link_distance(threshold: float) -> float:
+    """Distance of unit vectors whose cosine is ``threshold``."""
+    return math.sqrt(max(0.0, 2 - 2 * threshold))
+
+
+def links_between(a: Block, b: Block, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Exact links (rows of a, rows of b); each pair once where b is a."""
+    i, j = dual_traversal(a.unit, b.unit, a.levels, b.levels, link_distance(threshold))
+    if b is a:
         i, j = i[i < j], j[i < j]
     sure = np.zeros(len(i), bool)
     for at in range(0, len(i), 1 << 16):
         p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-        sure[at : at + len(p)] = np.einsum("nd,nd->n", raw_a[p], raw_b[q]) / (norm_a[p] * norm_b[q]) >= threshold
+        sure[at : at + len(p)] = np.einsum("nd,nd->n", a.raw[p], b.raw[q]) / (a.norm[p] * b.norm[q]) >= threshold
     return i[sure], j[sure]
 
 
@@ -141,74 +179,83 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _nearest(pivots: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cell and distance of each vector, both of unit length."""
-    unit = raw / np.sqrt((raw * raw).sum(axis=1))[:, None]
-    cosine = unit @ pivots.T
-    cell = cosine.argmax(axis=1)
-    return cell, np.sqrt(np.maximum(0, 2 - 2 * cosine[np.arange(len(raw)), cell]))
-
-
-def _dealt(distinct: DataFrame, threshold: float) -> DataFrame:
-    """Each vector once for each block that its own is compared with: label, dim, rep, vector,
-    times, own, lo, hi."""
-    spark, key = distinct.sparkSession, ["label", "dim"]
-    key_schema = distinct.select(*key).schema
-    sizes = persist(distinct.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "embedding-sizes")
-    large = sizes.where(F.col("n") > PIVOTED_BLOCKS * BLOCK).orderBy(F.desc("n"), *key).limit(ALL_PIVOTS // 2).collect()
-    plain, parts = sizes, []
-    if large:
-        total = sum(r["n"] for r in large)
-        wanted = [max(1, min(LABEL_PIVOTS, r["n"] // BLOCK, ALL_PIVOTS * r["n"] // total)) for r in large]
-        rates = spark.createDataFrame([(r["label"], r["dim"], w / r["n"]) for r, w in zip(large, wanted, strict=True)], key_schema.add("rate", "double"))
-        drawn = distinct.join(F.broadcast(rates), key).where(F.pmod(F.xxhash64("rep"), F.lit(1 << 32)) / float(1 << 32) < F.col("rate"))
-        pivots: dict[tuple, np.ndarray] = {}
-        for r in drawn.select(*key, "vector").limit(2 * ALL_PIVOTS).collect():
-            v = np.array(r["vector"], dtype=np.float64)
-            pivots.setdefault((r["label"], r["dim"]), []).append(v / math.sqrt(float(v @ v)))
-        if pivots:
-            chosen = F.broadcast(spark.createDataFrame(list(pivots), distinct.select(*key).schema))
-            plain = sizes.join(chosen, key, "left_anti")
-            parts.append(_by_cells(distinct.join(chosen, key), {k: np.array(v) for k, v in pivots.items()}, threshold))
-    blocks = plain.select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rest = distinct.join(blocks, key).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    parts.append(rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    columns = [*key, "rep", "vector", "times", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")]
-    every = parts[0].select(*columns)
-    return every.union(parts[1].select(*columns)) if len(parts) > 1 else every
-
-
-def _by_cells(rows: DataFrame, pivots: dict[tuple, np.ndarray], threshold: float) -> DataFrame:
-    """``rows`` of pivoted labels with ``own`` and ``other`` blocks of cells that may hold links."""
-    schema = f"{rows.select('label', 'dim', 'rep', 'vector', 'times').schema.simpleString()[7:-1]},cell:int,far:double"
+def _nearest(pivots: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Cell of each vector: the row of the pivot with the largest cosine."""
+    return (np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1))[1][:, None]) @ pivots.T).argmax(axis=1)
+
+
+def _room(dim: Column) -> Column:
+    """Vectors of ``dim`` components in a block."""
+    return F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_NUMBERS) / dim).cast("int")))
+
+
+def _pivots(distinct: DataFrame, sizes: DataFrame) -> dict[tuple, np.ndarray]:
+    """Unit vectors by (label, dim) for the largest labels of more than one block: about one a block,
+    drawn by digest, within both bounds.  Labels without any have one cell."""
+    key = ["label", "dim"]
+    large = sizes.where("n > room").orderBy(F.desc("n"), *key).limit(ALL_PIVOTS // 2).collect()
+    if not large:
+        return {}
+    total = sum(r["n"] for r in large)
+    wanted = [max(1, min(LABEL_PIVOTS, r["n"] // r["room"], ALL_PIVOTS * r["n"] // total)) for r in large]
+    kinds = distinct.select(*key).schema
+    rates = distinct.sparkSession.createDataFrame([(r["label"], r["dim"], w / r["n"]) for r, w in zip(large, wanted, strict=True)], kinds.add("rate", "double"))
+    draw = F.pmod(F.xxhash64("digest"), F.lit(1 << 32)) / float(1 << 32)
+    drawn = distinct.join(F.broadcast(rates), key).where(draw < F.col("rate")).orderBy(F.xxhash64("digest"), "digest", *key)  # `large` is bounded
+    out: dict[tuple, list] = {}
+    for r in drawn.select(*key, "vector").limit(2 * ALL_PIVOTS).collect():
+        v = np.array(r["vector"], dtype=np.float64)
+        v = np.ldexp(v, -np.frexp(np.abs(v).max())[1])
+        out.setdefault((r["label"], r["dim"]), []).append(v / math.sqrt(float(v @ v)))
+    return {k: np.array(v) for k, v in out.items()}
+
+
+def stored_blocks(distinct: DataFrame, threshold: float) -> DataFrame:
+    """Blocks of ``distinct`` (label, dim, rep, digest, vector, times), written with their trees:
+    label, dim, at (number in the label), centre and radius of the root, block (pickled)."""
+    key = ["label", "dim"]
+    sizes = persist(distinct.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).withColumn("room", _room(F.col("dim"))), "embedding-sizes")
+    pivots = _pivots(distinct, sizes)
+    rows = distinct.select(*key, "rep", "vector", "times")
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch[["label", "dim", "rep", "vector", "times"]].assign(cell=0, far=0.0)
-            for key, at in batch.groupby(["label", "dim"]).indices.items():
-                cell, far = _nearest(pivots[key], np.array(batch["vector"].iloc[at].tolist(), dtype=np.float64))
-                out.iloc[at, 5], out.iloc[at, 6] = cell, far
-            yield out.astype({"cell": "int32"})
-
-    placed = persist(rows.mapInPandas(assign, schema), "embedding-cells")
-    cells: dict[tuple, list] = {}
-    for r in placed.groupBy("label", "dim", "cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect():  # one row a pivot
-        cells.setdefault((r["label"], r["dim"]), []).append((r["cell"], r["far"], -(-r["n"] // BLOCK)))
-    link, table_rows = math.sqrt(max(0.0, 2 - 2 * threshold)), []
-    for (label, dim), own in cells.items():
-        index, far, count = (np.array(x) for x in zip(*sorted(own), strict=True))
-        first = np.cumsum([0, *count[:-1]])
-        centre = pivots[label, dim][index]
-        apart = np.sqrt(np.maximum(0, 2 - 2 * (centre @ centre.T)))
-        near = apart <= link + SLACK + far[:, None] + far[None, :]
-        for k, cell in enumerate(index):
-            others = [int(b) for j in np.nonzero(near[k])[0] for b in range(first[j], first[j] + count[j])]
-            table_rows.append((label, dim, int(cell), int(first[k]), int(count[k]), others))
-    kinds = rows.select("label", "dim").schema.simpleString()[7:-1]
-    partners = rows.sparkSession.createDataFrame(table_rows, f"{kinds},cell:int,first:int,blocks:int,others:array<int>")
-    met = placed.join(partners, ["label", "dim", "cell"])
-    met = met.withColumn("own", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    return met.withColumn("other", F.explode("others"))
+            cells = np.zeros(len(batch), np.int32)
+            for own, at in batch.groupby(key).indices.items():
+                if own in pivots:
+                    cells[at] = _nearest(pivots[own], np.array(batch["vector"].iloc[at].tolist(), dtype=np.float64))
+            yield batch.assign(cell=cells)
+
+    placed = persist(rows.mapInPandas(assign, f"{rows.schema.simpleString()[7:-1]},cell:int"), "embedding-cells")
+    cells = placed.groupBy(*key, "cell").agg(F.count(F.lit(1)).alias("n"))
+    blocks = F.ceil(F.col("n") / _room(F.col("dim"))).cast("int")
+    before = Window.partitionBy(*key).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = persist(cells.select(*key, "cell", blocks.alias("blocks"), F.coalesce(F.sum(blocks).over(before), F.lit(0)).alias("first")), "embedding-cell-sizes")
+    dealt = placed.join(cells, [*key, "cell"]).select(*key, (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("at"), "rep", "vector", "times")
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        made = make_block(group["rep"].to_numpy(), group["times"].to_numpy(), np.array(group["vector"].tolist(), dtype=np.float64), threshold)
+        root = made.levels[0]
+        return pd.DataFrame({"label": group["label"].iloc[:1], "dim": group["dim"].iloc[:1], "at": group["at"].iloc[:1], "centre": [made.unit[root.centre[0]]], "radius": [float(root.radius[0])], "block": [pickle.dumps(made)]})
+
+    kinds = rows.select(*key).schema.simpleString()[7:-1]
+    stored = persist(dealt.groupBy(*key, "at").applyInPandas(pack, f"{kinds}, at long, centre array<float>, radius double, block binary"), "embedding-blocks")
+    discard(sizes, placed, cells)
+    return stored
+
+
+def near_tiles(stored: DataFrame, threshold: float) -> DataFrame:
+    """label, dim, tile (two numbers), at and partners of each block of each tile; a partner is a
+    block in the tile, itself included, whose root is near enough for a link."""
+    roots = stored.select("label", "dim", "at", "centre", "radius")
+    a, b = (roots.select("label", "dim", *(F.col(c).alias(f"{c}_{x}") for c in ("at", "centre", "radius"))) for x in "ab")
+    product = F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda acc, x: acc + x)
+    bound = F.lit(link_distance(threshold) + SLACK) + F.col("radius_a") + F.col("radius_b")
+    pairs = a.join(b, ["label", "dim"]).where((F.col("at_a") <= F.col("at_b")) & (F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * product)) <= bound))
+    pairs = pairs.select("label", "dim", *(F.floor(F.col(f"at_{x}") / TILE).alias(f"tile_{x}") for x in "ab"), "at_a", "at_b")
+    key = ["label", "dim", "tile_a", "tile_b"]
+    both = pairs.select(*key, F.col("at_a").alias("at"), F.col("at_b").alias("partner")).union(pairs.select(*key, "at_b", F.lit(None)))
+    return both.groupBy(*key, "at").agg(F.collect_set("partner").alias("partners"))  # at most TILE of them
 
 
 def embedding_groups(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -220,39 +267,43 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.93, id_col: str =
     rows; a row without an id counts as a link but cannot name a component, so ``kept`` is false
     for it.  Extra columns are not touched.
     """
-    rows = vectors.select(quoted(id_col).alias("id"), quoted(vector_col).alias("vector"), quoted(label_col).alias("label"))
-    good = usable(F.col("vector")) & F.col("label").isNotNull()
-    distinct = rows.where(good).groupBy("label", "vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times"))
-    distinct = persist(distinct.withColumn("rep", F.monotonically_increasing_id()), "embedding-distinct")
-
-    dealt = _dealt(distinct.withColumn("dim", F.size("vector")), threshold)
+    vector = quoted(vector_col)
+    good = usable(vector) & quoted(label_col).isNotNull()
+    # Vectors are joined and grouped by a digest of their components.
+    digest = F.sha2(F.concat_ws(",", vector.cast("array<string>")), 256)
+    rows = vectors.select(quoted(id_col).alias("id"), quoted(label_col).alias("label"), F.when(good, digest).alias("digest"), vector.alias("vector"))
+    distinct = rows.where("digest is not null").groupBy("label", "digest").agg(F.first("vector").alias("vector"), F.min("id").alias("id"), F.count(F.lit(1)).alias("times"))
+    distinct = persist(distinct.withColumn("rep", F.monotonically_increasing_id()).withColumn("dim", F.size("vector")), "embedding-distinct")
+    stored = stored_blocks(distinct, threshold)
+    tiles = persist(near_tiles(stored, threshold), "embedding-tiles")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        rep, times = group["rep"].to_numpy(), group["times"].to_numpy()
-        raw = np.array(group["vector"].tolist(), dtype=np.float64)
-        if (group["lo"] == group["hi"]).iloc[0]:
-            i, j = links_between(raw, None, threshold)
-        else:
-            first = (group["own"] == group["lo"]).to_numpy()
-            a, b = np.nonzero(first)[0], np.nonzero(~first)[0]
-            if not len(a) or not len(b):
-                return pd.DataFrame({"rep": [], "to": [], "n": []})
-            i, j = links_between(raw[a], raw[b], threshold)
-            i, j = a[i], b[j]
+        blocks = {at: pickle.loads(block) for at, block in zip(group["at"], group["block"], strict=True)}
+        first = dict(zip(blocks, np.cumsum([0, *(len(x.rep) for x in blocks.values())]), strict=False))
+        rep, times = (np.concatenate([getattr(x, name) for x in blocks.values()]) for name in ("rep", "times"))
+        ends = [(np.zeros(0, np.int64),) * 2]
+        for at, partners in zip(group["at"], group["partners"], strict=True):
+            for to in partners:
+                i, j = links_between(blocks[at], blocks[to], threshold)
+                ends.append((i + first[at], j + first[to]))
+        i, j = (np.concatenate(x) for x in zip(*ends, strict=True))
         n = np.bincount(i, weights=times[j], minlength=len(rep)) + np.bincount(j, weights=times[i], minlength=len(rep))
         at = np.nonzero(n)[0]
         root = spanning_roots(len(rep), i, j)
         return pd.DataFrame({"rep": rep[at], "to": rep[root[at]], "n": n[at].astype(np.int64)})
 
-    found = persist(dealt.groupBy("label", "dim", "lo", "hi").applyInPandas(compare, "rep long, to long, n long"), "embedding-links")
+    met = tiles.join(stored.select("label", "dim", "at", "block"), ["label", "dim", "at"])
+    found = persist(met.groupBy("label", "dim", "tile_a", "tile_b").applyInPandas(compare, "rep long, to long, n long"), "embedding-links")
+    discard(stored, tiles)
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")), "embedding-components")
-    named = distinct.join(counts, "rep", "left").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    named = persist(named.select("label", "vector", "id", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")), "embedding-named")
-    lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    linked = rows.where(good).join(named.join(lowest, "root").select("label", "vector", "n_links", "component_id"), ["label", "vector"])
-    linked = linked.select("id", "n_links", "component_id")
-    alone = rows.where(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    named = distinct.select("label", "digest", "id", "times", "rep").join(counts, "rep", "left").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    named = persist(named.select("label", "digest", "id", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")), "embedding-named")
+    lowest = persist(named.groupBy("root").agg(F.min("id").alias("component_id")), "embedding-lowest")
+    # Written, so that a join on a vector with many copies can be split.
+    named = persist(named.join(lowest, "root").select("label", "digest", "n_links", "component_id"), "embedding-results")
+    linked = rows.where("digest is not null").select("id", "label", "digest").join(named, ["label", "digest"]).select("id", "n_links", "component_id")
+    alone = rows.where("digest is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.union(alone)
     return out.select(F.col("id").alias(id_col), "n_links", F.col("component_id").cast("long").alias("component_id"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 

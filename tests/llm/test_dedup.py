@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 from contactloom.llm import simhash
-from contactloom.llm.embedding_dedup import cover_tree, embedding_groups, links_between, spanning_roots
+from contactloom.llm.embedding_dedup import cover_tree, embedding_groups, links_between, make_block, spanning_roots
 from contactloom.llm.graph import connected_components
 
 
@@ -112,17 +112,17 @@ def test_simhash_groups(spark):
     assert simhash.simhash_groups(docs.limit(0)).count() == 0 and simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_cells_that_cannot_meet_are_apart(spark, monkeypatch):
+def test_blocks_that_cannot_meet_are_apart(spark, monkeypatch):
     from contactloom.llm import embedding_dedup
 
     monkeypatch.setattr(embedding_dedup, "BLOCK", 10)
-    monkeypatch.setattr(embedding_dedup, "PIVOTED_BLOCKS", 1)
     rng = np.random.default_rng(9)
     x = np.repeat(np.eye(16)[:8], 40, axis=0) + rng.normal(scale=0.01, size=(320, 16))
-    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "rep long, vector array<float>, label int").selectExpr("label", "16 dim", "rep", "vector", "1L times")
-    pairs = embedding_dedup._dealt(df, 0.93).select("lo", "hi").distinct().count()
-    blocks = embedding_dedup._dealt(df, 0.93).select("own").distinct().count()
-    assert blocks >= 32 and pairs < blocks * (blocks + 1) / 4
+    df = spark.createDataFrame([(k, v.tolist(), 1, f"{k:x}") for k, v in enumerate(x)], "rep long, vector array<float>, label int, digest string").selectExpr("label", "16 dim", "rep", "digest", "vector", "1L times")
+    stored = embedding_dedup.stored_blocks(df, 0.93)
+    blocks = stored.count()
+    met = [(r["at"], p) for r in embedding_dedup.near_tiles(stored, 0.93).collect() for p in r["partners"]]
+    assert blocks >= 32 and len(met) == len(set(met)) < blocks * (blocks + 1) / 4
 
 
 def test_components(spark):
@@ -142,29 +142,45 @@ def vectors(seed=1):
 def test_cover_tree_invariants():
     x = vectors()
     unit = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    far = np.linalg.norm(unit[:, None] - unit[None], axis=2)
     levels = cover_tree(unit, 0.1)
-    owner = np.zeros(len(x), int)
-    for k, level in enumerate(levels[1:], 1):
-        assert (level.parent < len(levels[k - 1].centre)).all()
-    assert len(levels[-1].centre) == len(x) and levels[-1].radius.max() == 0 and owner.max() == 0
-
-
-def test_links_between():
+    assert len(levels) == 6 and len(levels[-1].centre) == len(x) and levels[-1].radius.max() == 0
+    inner = levels[:-1]
+    for k, level in enumerate(inner):
+        assert set(inner[max(0, k - 1)].centre) <= set(level.centre)  # nesting
+        between = far[np.ix_(level.centre, level.centre)] + 9 * np.eye(len(level.centre))
+        assert between.min() > 2 / 2**k - 1e-3  # separation
+        assert far[:, level.centre].min(axis=1).max() <= 2 / 2**k + 1e-3  # covering
+    owner = np.arange(len(x))
+    for below, level in zip(levels[:0:-1], levels[-2::-1], strict=True):
+        owner = below.parent[owner]
+        gap = far[np.arange(len(x)), level.centre[owner]]
+        assert (gap <= level.radius[owner] + 1e-3).all()  # each node covers all below it
+
+
+def block_of(x):
+    return make_block(np.arange(len(x)), np.ones(len(x), int), x, 0.93)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-200, 1e200])
+def test_links_between(scale):
     x = vectors()
     cos = (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
     want = {(i, j) for i, j in itertools.combinations(range(len(x)), 2) if cos[i, j] >= 0.93}
-    assert set(zip(*links_between(x, None, 0.93), strict=True)) == want and len(want) > 50
-    i, j = links_between(x[:50], x[50:], 0.93)
-    assert set(zip(i, j + 50, strict=True)) == {(a, b) for a, b in want if a < 50 <= b}
+    a, b, c = block_of(x * scale), block_of(x[:50] * scale), block_of(x[50:] * scale)
+    i, j = links_between(a, a, 0.93)
+    assert {tuple(sorted(p)) for p in zip(a.rep[i], a.rep[j], strict=True)} == want and len(want) > 50
+    i, j = links_between(b, c, 0.93)
+    assert set(zip(b.rep[i], c.rep[j] + 50, strict=True)) == {(a, b) for a, b in want if a < 50 <= b}
     assert spanning_roots(4, np.array([3, 1]), np.array([1, 2])).tolist() == [0, 1, 1, 1]
 
 
-@pytest.mark.parametrize("block,pivoted", [(2048, 8), (20, 8), (7, 1)])
-def test_embedding_groups(spark, monkeypatch, block, pivoted):
+@pytest.mark.parametrize("block,pivots", [(2048, 256), (16, 256), (7, 1)])
+def test_embedding_groups(spark, monkeypatch, block, pivots):
     from contactloom.llm import embedding_dedup
 
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
-    monkeypatch.setattr(embedding_dedup, "PIVOTED_BLOCKS", pivoted)
+    monkeypatch.setattr(embedding_dedup, "LABEL_PIVOTS", pivots)
     x = vectors()
     rows = [(k, v.tolist(), k % 2) for k, v in enumerate(x)] + [(500 + k, x[k].tolist(), k % 2) for k in range(6)]
     odd = [(900, None, 0), (901, [0.0] * 16, 0), (902, [1.0, None], 0), (903, [float("nan")], 0), (904, [float("inf")], 0), (905, x[0].tolist(), None), (906, [], 0), (907, x[0].tolist()[:8], 0)]
@@ -176,3 +192,29 @@ def test_embedding_groups(spark, monkeypatch, block, pivoted):
     want = {a: (sum(linked(a, b) for b in data if b != a), roots[a], roots[a] == a) for a in data}
     assert got == want | {k: (0, k, True) for k, *_ in odd}
     assert embedding_groups(df.limit(0)).count() == 0
+
+
+def test_green_table_with_links(spark, tmp_path):
+    """The query and its SQL on a table that has links, which the given ones lack: near copies at
+    several distances around the threshold, exact copies, chains and labels that keep copies apart."""
+    import duckdb
+
+    from contactloom.llm.queries import ORACLE_SQL, QUERIES
+
+    source = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").limit(300).toPandas()
+    rng, rows = np.random.default_rng(4), []
+    for k, (v, label) in enumerate(zip(source["embedding"], source["label"], strict=True)):
+        v = np.array(v, dtype=np.float32)
+        rows.append((10 * k, v.tolist(), label))
+        for n, scale in enumerate(rng.choice([0.0, 0.2, 0.35, 0.4, 0.6], size=k % 4)):
+            v = v + rng.normal(size=len(v)).astype(np.float32) * np.float32(scale * np.linalg.norm(v) / 8)
+            rows.append((10 * k + n + 1, v.tolist(), label if n < 2 else None if k % 2 else label))
+    path = f"{tmp_path}/embeddings.parquet"
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(3).write.parquet(path)
+    db = duckdb.connect()
+    db.sql(f"create view embeddings as select * from '{path}/*.parquet'")
+    want = db.sql(ORACLE_SQL["op8_embedding_dedup"])
+    columns = want.columns
+    want = sorted(want.fetchall())
+    got = sorted(map(tuple, QUERIES["op8_embedding_dedup"](spark, str(tmp_path)).select(*columns).collect()))
+    assert got == want and sum(r[columns.index("n_links")] > 0 for r in got) > 100
