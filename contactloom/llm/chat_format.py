@@ -2,9 +2,9 @@
 
 Messages form trees by (tree, node, parent).  Iterative self-joins enumerate the root-to-leaf paths:
 jump tables of 1, 2, 4, ... replies up are built by joining a table with itself, and the
-leaves then walk up through them from the longest jump to the
-shortest, so a branch of d turns takes about 2 log2(d) joins.  Branches are ranked by mean score and
-each chosen path becomes one conversation.
+leaves then walk up through them from the longest jump to the shortest, so a branch of d turns takes
+about 2 log2(d) joins.  Branches are ranked by mean score and each chosen path becomes one
+conversation.
 
 The template is ``<|turn|>role<|text|>text<|end|>\\n`` for each turn.  Control strings inside roles
 and texts get one backslash after their first character, and those that already have backslashes
@@ -21,14 +21,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import persist, table
+from .common import discard, persist, table
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Control strings of this and other widespread templates.
 CONTROL = [TURN, TEXT, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>"]
 _INSIDE = regex.compile("|".join(rf"(?<={regex.escape(c[0])})\\*(?={regex.escape(c[1:])})" for c in CONTROL))
 _ESCAPED = regex.compile("|".join(rf"(?<={regex.escape(c[0])})\\+(?={regex.escape(c[1:])})" for c in CONTROL))
-MAX_JUMPS = 40
 
 
 def escape(text: str) -> str:
@@ -65,46 +64,46 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 def branch_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     """(tree, leaf, rank, up, node) for each message on each chosen root-to-leaf path.
 
-    ``messages``: tree, node, parent (null or unknown for roots), score.  ``up`` counts replies from
-    the leaf.  Branches of a tree rank by mean score, then by leaf; ``branches`` keeps the first so
-    many of each tree.  Messages on a parent cycle hang under no root and are left out.
+    ``messages``: tree, node (one row each), parent (null or unknown for roots), score.  ``up``
+    counts replies from the leaf.  Branches of a tree rank by mean score, then by leaf; ``branches``
+    keeps the first so many of each tree.  Messages on a parent cycle, and replies below one, hang
+    under no root and are left out.
     """
     keyed = messages.select(F.struct("tree", "node").alias("node"), F.struct("tree", "parent").alias("parent"), F.col("parent").isNull().alias("top"), F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
     keyed = persist(keyed, "chat-nodes")
     there = keyed.select(F.col("node").alias("parent")).distinct()
     links = keyed.where(~F.col("top")).join(there, "parent", "left_semi")
-    roots = keyed.select("node").join(links.select("node"), "node", "left_anti")
     jumps = [persist(links.select("node", F.col("parent").alias("to"), F.lit(1).cast("long").alias("up")), "chat-jump")]
-    for _ in range(MAX_JUMPS):
+    n = keyed.count()
+    while True:
         now = jumps[-1]
         on = now.select(F.col("node").alias("to"), F.col("to").alias("far"), F.col("up").alias("more"))
-        further = now.join(on, "to").select("node", F.col("far").alias("to"), (F.col("up") + F.col("more")).alias("up"))
-        further = persist(further, "chat-jump")
+        further = persist(now.join(on, "to").select("node", F.col("far").alias("to"), (F.col("up") + F.col("more")).alias("up")), "chat-jump")
         if further.isEmpty():
+            discard(further)
+            break
+        if 1 << len(jumps) >= n:  # no path is so long: these nodes lead into a cycle
+            keyed, *jumps = (persist(x.join(further.select("node"), "node", "left_anti"), "chat-acyclic") for x in (keyed, *jumps))
             break
         jumps.append(further)
-    else:
-        raise ValueError("the parents form a cycle")
-    return _walk(keyed, roots, jumps, branches)
+    return _walk(keyed, jumps, branches)
 
 
-def _walk(keyed: DataFrame, roots: DataFrame, jumps: list[DataFrame], branches: int | None) -> DataFrame:
+def _walk(keyed: DataFrame, jumps: list[DataFrame], branches: int | None) -> DataFrame:
+    """Paths from the leaves of acyclic nodes up through the jumps, longest first, and their ranks."""
     replied = keyed.where(~F.col("top")).select(F.col("parent").alias("node")).distinct()
-    leaves = keyed.select("node").join(replied, "node", "left_anti")
-    path = leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    path = keyed.select("node").join(replied, "node", "left_anti").select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     for jump in reversed(jumps):
         step = jump.select("node", "to", F.col("up").alias("more"))
-        path = path.union(path.join(step, "node").select("leaf", F.col("to").alias("node"), (F.col("up") + F.col("more")).alias("up")))
-        path = persist(path, "chat-path")
-    rooted = path.join(roots.select("node"), "node", "left_semi").select("leaf")
-    path = path.join(rooted, "leaf", "left_semi")
+        further = path.join(step, "node").select("leaf", F.col("to").alias("node"), (F.col("up") + F.col("more")).alias("up"))
+        path = persist(path.union(further), "chat-path")
+    scored = path.join(keyed.select("node", "score"), "node").groupBy("leaf").agg(F.avg("score").alias("score"))
+    # With a bound, each task first keeps its own best branches of a tree; without one a tree's
+    # leaves (not their texts) are sorted together.
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("leaf.tree").orderBy(F.desc("score"), "leaf.node")))
     if branches is not None:
-        scored = path.join(keyed.select("node", "score"), "node").groupBy("leaf").agg(F.avg("score").alias("score"))
-        order = Window.partitionBy("leaf.tree").orderBy(F.desc("score"), "leaf.node")
-        best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches).select("leaf", "rank")
-        path = path.join(best, "leaf")
-    else:
-        path = path.withColumn("rank", F.lit(None).cast("int"))
+        ranked = ranked.where(F.col("rank") <= branches)
+    path = path.join(persist(ranked.select("leaf", "rank"), "chat-ranks"), "leaf")
     return path.select(F.col("leaf.tree").alias("tree"), F.col("leaf.node").alias("leaf"), "rank", "up", F.col("node.node").alias("node"))
 
 
@@ -112,8 +111,13 @@ def format_trees(messages: DataFrame, branches: int | None = None, learn: str =
     """One row per chosen branch: tree, leaf, rank, formatted, loss (spans of the loss mask).
 
     ``messages``: tree, node, parent, role, text, score.  Null roles and texts are empty.  Trees
-    may have null ids.  A conversation is one output row, so one task must hold one branch.
+    may have null ids.  Of rows with equal tree and node the least (by parent, role, text, score)
+    counts; extra columns are not touched.  A conversation is one output row, so one task must hold
+    one branch.
     """
+    rest = ("parent", "role", "text", "score")
+    messages = messages.groupBy("tree", "node").agg(F.min(F.struct(*rest)).alias("x")).select("tree", "node", *(f"x.{c}" for c in rest))
+    messages = persist(messages, "chat-messages")
     path = branch_paths(messages, branches)
     said = messages.select(F.struct("tree", "node").alias("key"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = path.withColumn("key", F.struct("tree", "node")).join(said, "key")
@@ -130,12 +134,12 @@ def format_trees(messages: DataFrame, branches: int | None = None, learn: str =
 
 def threads(conversations: DataFrame) -> DataFrame:
     """``conversations`` (conv_id, turn, role, text) as reply trees of one branch: rows of one
-    conversation in the order of turn, role and text, each a reply to the one before it.  Repeated
-    rows and null turns (first) count as turns of their own."""
+    conversation in the order of turn, role and text, each a reply to the one before it, scored by
+    its length in characters.  Repeated rows and null turns (first) count as turns of their own."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = conversations.select("conv_id", "turn", "role", "text").withColumn("node", F.row_number().over(order).cast("long"))
     parent = F.when(F.col("node") > 1, F.col("node") - 1)
-    return rows.select(F.col("conv_id").alias("tree"), "node", parent.alias("parent"), "role", "text", F.lit(1.0).alias("score"))
+    return rows.select(F.col("conv_id").alias("tree"), "node", parent.alias("parent"), "role", "text", F.coalesce(F.length("text"), F.lit(0)).cast("double").alias("score"))
 
 
 def read_formatted(formatted: DataFrame) -> DataFrame:
@@ -160,5 +164,5 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
-    formatted = persist(format_trees(persist(threads(rows.union(more)), "chat-threads")), "chat-formatted")
+    formatted = persist(format_trees(threads(rows.union(more)), branches=1), "chat-formatted")
     return read_formatted(formatted)

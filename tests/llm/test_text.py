@@ -44,9 +44,19 @@ def test_reply_trees(spark):
     assert [t for _, t in got[("b", 20)]] == [f"t{k}" for k in range(21)] and len(got) == 5
     best = {(r["tree"], r["leaf"]): r["rank"] for r in chat.format_trees(messages, branches=1).collect()}
     assert best == {("a", 5): 1, ("b", 20): 1, (None, 1): 1}
+    assert {(r["tree"], r["leaf"]): r["rank"] for r in chat.format_trees(messages).collect()} == best | {("a", 3): 2, ("a", 9): 3}
     assert chat.format_trees(messages.limit(0)).count() == 0
 
 
+def test_cycles_and_repeated_nodes(spark):
+    rows = [("c", 1, 3, "user", "a", 1.0), ("c", 2, 1, "user", "b", 1.0), ("c", 3, 2, "user", "c", 1.0), ("c", 4, 3, "user", "below", 1.0), ("c", 5, 5, "user", "self", 1.0)]
+    rows += [("d", k, k - 1 if k else None, "user", f"t{k}", 1.0) for k in range(300)] + [("d", 7, 6, "user", "t7", 1.0), ("d", 8, 299, "zzz", "later row of 8", 9.0)]
+    messages = spark.createDataFrame([(*r, "x") for r in rows], "tree string, node long, parent long, role string, text string, score double, leaf string")
+    got = chat.format_trees(messages).collect()
+    assert [(r["tree"], r["leaf"], r["rank"]) for r in got] == [("d", 299, 1)]
+    assert [t for _, t in chat.read_back(got[0]["formatted"])] == [f"t{k}" for k in range(300)]
+
+
 def test_threads(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, None, None, None), (None, 0, "user", "<|end|>\n")]
     c = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, node int")
