@@ -2,6 +2,9 @@
 
 The cache is a table (content digest, tokenizer-version digest, n_tokens).  Documents are joined to
 it by both digests; only distinct contents that it lacks are encoded, once each, and appended.
+
+The content digest is that of the normalised text: where the tokenizer itself lower-cases texts and
+drops white space between words, texts of plain characters that differ only so share one count.
 """
 
 from __future__ import annotations
@@ -14,13 +17,15 @@ from functools import lru_cache
 import pandas as pd
 import regex
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import persist, quoted, scratch_path, table
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
 MEMO_WORDS = 1_000_000
+#: Contents of one task whose repetitions are skipped.
+MOST_SEEN = 100_000
 #: So few misses are broadcast (their number is counted first); beyond, texts are shuffled to them.
 FEW_MISSES = 10_000
 #: Texts of these characters only are counted word by word; the library itself counts all others.
@@ -77,12 +82,36 @@ class TokenCount:
         return total
 
 
+    @property
+    def folds(self) -> bool:
+        """Whether plain texts without added tokens count the same in lower case and with any runs
+        of white space between the same words."""
+        return self._split is not None
+
+    @property
+    def added(self) -> list[str]:
+        """Strings that are tokens of their own."""
+        return self._specials if self._split is not None else []
+
+
 @lru_cache(maxsize=2)
 def counter(path: str) -> TokenCount:
     """One counter for each Python worker."""
     return TokenCount(path)
 
 
+def content_digest(text: Column, count: TokenCount) -> Column:
+    """sha256 of a text's normal form.  Texts that the folding is not proven for are digested as
+    they are, with a mark that keeps them apart from normal forms."""
+    if not count.folds:
+        return F.sha2(text.cast("binary"), 256)
+    plain = ~text.rlike(f"[^{PLAIN.pattern[1:-2]}]")
+    for token in count.added:
+        plain = plain & ~text.contains(token)
+    form = F.btrim(F.regexp_replace(F.lower(text), r"[\t\n\r ]+", " "))
+    return F.sha2(F.when(plain, F.concat(F.lit("n"), form)).otherwise(F.concat(F.lit("r"), text)).cast("binary"), 256)
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The cache, empty where nothing has been written yet."""
     try:
@@ -104,7 +133,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str, limit: int = 2048
     spark = docs.sparkSession
     version = tokenizer_digest(vocabulary)
     text = F.coalesce(quoted(text_col), F.lit(""))
-    rows = docs.select(quoted(id_col).alias("id"), text.alias("text"), F.sha2(text.cast("binary"), 256).alias("content"))
+    content = content_digest(text, counter(vocabulary))
+    rows = docs.select(quoted(id_col).alias("id"), text.alias("text"), content.alias("content"))
     known = read_cache(spark, cache).where(F.col("tokenizer") == version)
 
     # One row of each missing content stands for all; its text is fetched by (id, content).
@@ -123,6 +153,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str, limit: int = 2048
         for batch in batches:
             fresh = batch.drop_duplicates("content")
             fresh = fresh[~fresh["content"].isin(seen)]
+            if len(seen) > MOST_SEEN:
+                seen.clear()  # a content met again is counted again, and stands twice in the cache
             seen.update(fresh["content"])
             yield pd.DataFrame({"content": fresh["content"], "tokenizer": version, "n_tokens": [count(t) for t in fresh["text"]]})
 
@@ -130,12 +162,14 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str, limit: int = 2048
         texts.mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     counts = persist(counts, "token-counts")  # a plain side, so that a join on a popular content can be split
-    sized = docs.select(quoted(id_col).alias("id"), F.sha2(text.cast("binary"), 256).alias("content"), F.octet_length(text).cast("long").alias("n_bytes"))
+    sized = docs.select(quoted(id_col).alias("id"), content.alias("content"), F.octet_length(text).cast("long").alias("n_bytes"))
     return sized.join(counts, "content").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of the whole ``documents`` table, through a cache that starts empty."""
+    """Token counts of the whole ``documents`` table, through the cache that the session names in
+    ``contactloom.token.cache``; where that is unset, through one that starts empty."""
     import public_tokenizers
 
-    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), scratch_path(spark, "token-cache"))
+    cache = spark.conf.get("contactloom.token.cache", None) or scratch_path(spark, "token-cache")
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache)

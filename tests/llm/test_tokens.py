@@ -71,6 +71,33 @@ def test_digest_cache(spark, tmp_path, monkeypatch, few):
     assert token_counts.count_tokens(docs.limit(0), WORDS, path).count() == 0
 
 
+def test_equal_digests_have_equal_counts(spark):
+    library = Tokenizer.from_file(WORDS)
+    texts = ["Hello  World's\n END", "hello world's end ", "\thello world's end", "hello world 's end", "<|startoftext|>x", "<|STARTOFTEXT|>x", "<|StartOfText|>x", "Größe ŠX", "größe  šx", "Σas ΣΑΣ", "σας σας", "a\x0bb", "a b", "A\u2028b", "İx", "ix", "e\u0301", "\u00e9", "a\u00a0b", "don 't", "don't"]
+    texts += [f(t) for t in fuzz(400) for f in (str, str.lower, str.upper, lambda x: x.replace(" ", "  \n"))]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    by: dict[str, set] = {}
+    for r in rows.select("text", token_counts.content_digest(rows["text"], token_counts.counter(WORDS)).alias("d")).collect():
+        by.setdefault(r["d"], set()).add(r["text"])
+    for same in by.values():
+        assert len({len(library.encode(t, add_special_tokens=False)) for t in same}) == 1
+    assert any({*texts[:3]} <= same for same in by.values()) and len(by) < len(set(texts)) - 20
+    plain = rows.select(token_counts.content_digest(rows["text"], token_counts.counter(PIECES)).alias("d"))
+    assert plain.distinct().count() == len(set(texts))
+
+
+def test_second_run_of_the_query_encodes_nothing(spark, tmp_path):
+    data = "/root/testdata/sf0.001"
+    spark.conf.set("contactloom.token.cache", f"file://{tmp_path}/cache")
+    try:
+        first = sorted(map(tuple, token_counts.op5_token_counts(spark, data).collect()))
+        size = token_counts.read_cache(spark, f"file://{tmp_path}/cache").count()
+        assert sorted(map(tuple, token_counts.op5_token_counts(spark, data).collect())) == first
+        assert token_counts.read_cache(spark, f"file://{tmp_path}/cache").count() == size > 0
+    finally:
+        spark.conf.unset("contactloom.token.cache")
+
+
 def test_fullest_against_brute_force():
     rng = random.Random(4)
     for _ in range(60):
