@@ -103,8 +103,8 @@ def test_likelihood_ratio_against_brute_force(spark):
 
     texts = ["good words here", "good words again and again", "bad bad junk", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    trusted = spark.createDataFrame([(0,), (1,)], "id long")
-    weights = rules.ratio_weights(docs, trusted, "doc_id", "text", 64)
+    trusted = rules.trusted_ids(spark.createDataFrame([(0, 1), (1, 1), (1, 1), (2, 0), (None, 1), (77, 1)], "doc_id long, quality int"))
+    weights = rules.ratio_weights(*rules.bucket_counts(docs, trusted, "doc_id", "text", 64))
 
     def signed(x):
         return x - (1 << 64) if x >> 63 else x
@@ -128,13 +128,33 @@ def test_likelihood_ratio_against_brute_force(spark):
         assert got[k] == pytest.approx(sum(want[b] for b in g) / len(g) if g else 0.0)
 
 
+def test_threshold_is_that_of_trusted_documents_without_their_fold(spark):
+    import random
+
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(rng.randint(4, 30))) for _ in range(60)] + ["q%d r s" % k * 5 for k in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 60, 2)], "doc_id long, quality int")
+    trusted = rules.trusted_ids(labels)
+    raw, good = rules.bucket_counts(docs, trusted, "doc_id", "text", 64)
+    lowest = 9.0
+    for k in range(0, 60, 2):
+        if len(texts[k].split()) >= 10:
+            fold = zlib.crc32(str(k).encode()) % rules.FOLDS
+            weights = rules.ratio_weights(raw, [g for f, g in enumerate(good) if f != fold])
+            lowest = min(lowest, docs.where(f"doc_id = {k}").select(rules.mean_weight(rules.words_of(docs["text"]), weights).alias("s")).first()["s"])
+    got = rules.held_out_threshold(docs, trusted, "doc_id", "text", raw, good)
+    assert got == pytest.approx(np.floor(lowest * 1000) / 1000 - rules.MARGIN)
+    assert rules.learn(docs, labels.limit(0), "doc_id", "text")[1] == -rules.MARGIN and rules.learn(docs, labels, "doc_id", "text", 64, -3.0)[1] == -3.0
+
+
 def test_rules_keep_clean_documents(spark):
     df = rules.op6_quality_rules(spark, DATA)
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     rows = df.join(labels, "doc_id").where("not base_failed").select("quality", "kept").collect()
     clean = [r["kept"] for r in rows if r["quality"] == 1]
     junk = [r["kept"] for r in rows if r["quality"] == 0]
-    assert np.mean(clean) > 0.98 and np.mean(junk) < 0.6
+    assert np.mean(clean) > 0.98 and np.mean(junk) < 0.2
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
 
 
