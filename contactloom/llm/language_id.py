@@ -29,6 +29,7 @@ FILTERS = 16
 CLASSES = 96
 TRAIN_ROWS = 1_500
 TRAIN_WINDOWS = 4
+TRAIN_TOTAL, MOST_LANGS = 60_000, 1_000
 BATCH_WINDOWS = 256
 UNKNOWN = "und"
 
@@ -168,21 +169,26 @@ def _scorer_of(blob: bytes) -> Scorer:
 
 
 def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = TRAIN_ROWS, per_row: int = TRAIN_WINDOWS) -> pd.DataFrame:
-    """(lang, window) of labelled rows outside fold 0: about ``rows`` of each language (a row is
-    taken where the hash of its id falls below ``rows`` / rows of the language; at most 1,000
-    languages, the most frequent), and at most ``per_row`` windows evenly spread over its text."""
+    """(lang, window) of labelled rows outside fold 0: about ``rows`` of each language, and
+    ``TRAIN_TOTAL`` in all (a row is taken where the hash of its id falls below that share of its
+    language; of rows with equal id and language one, the least text), and at most ``per_row``
+    windows evenly spread over its text.  More than ``MOST_LANGS`` languages are an error."""
     labelled = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), quoted(lang_col).alias("lang"))
     labelled = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (fold_of(F.col("id")) != 0))
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1_000).collect()
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS + 1).collect()
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"{lang_col} holds more than {MOST_LANGS} languages")
     if not counts:
         return pd.DataFrame({"lang": pd.Series(dtype=str), "cut": pd.Series(dtype=str)})
+    rows = min(rows, TRAIN_TOTAL // len(counts))
     rate = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], rows / r["n"])))
     drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 32)) / float(1 << 32) < F.coalesce(F.element_at(rate, F.col("lang")), F.lit(0.0))
     # Places of the windows of one text, in characters; a window of characters holds one of bytes.
     last = F.greatest(F.length("text") - WINDOW, F.lit(0))
     places = F.transform(F.sequence(F.lit(0), F.lit(per_row - 1)), lambda k: F.floor(last * k / F.lit(max(1, per_row - 1))).cast("int"))
     cuts = F.transform(F.array_distinct(places), lambda at: F.substring(F.col("text"), at + 1, F.lit(WINDOW)))
-    return labelled.where(drawn).select("lang", "id", F.explode(cuts).alias("cut")).toPandas().sort_values(["lang", "id", "cut"])
+    one = labelled.where(drawn).groupBy("id", "lang").agg(F.min("text").alias("text"))  # repeated ids stay within the bound
+    return one.select("lang", "id", F.explode(cuts).alias("cut")).toPandas().sort_values(["lang", "id", "cut"])
 
 
 def train_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:

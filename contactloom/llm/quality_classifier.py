@@ -153,12 +153,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarra
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int = TRAIN_ROWS) -> pd.DataFrame:
     """Features and labels of about ``rows`` labelled documents outside fold 0 (those whose id's
-    hash falls below the share wanted), computed on the executors; their ids are broadcast."""
+    hash falls below the share wanted; of rows with equal ids one, the least text), computed on the
+    executors; their ids are broadcast."""
     marked = labels.select(quoted(id_col).alias("id"), F.col("quality").alias("label")).where("label in (0, 1)")
     marked = marked.where(F.col("id").isNotNull() & (fold_of(F.col("id")) != 0)).groupBy("id").agg(F.min("label").alias("label"))
     share = rows / max(1, marked.count())
     drawn = marked.where(F.pmod(F.xxhash64("id"), F.lit(1 << 32)) / float(1 << 32) < share)
     source = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).join(F.broadcast(drawn), "id")
+    source = source.groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label"))  # repeated ids stay within the bound
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         make = Features()

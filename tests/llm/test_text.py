@@ -194,6 +194,20 @@ def test_quality_edges(spark):
     assert fm.score_quality(docs.limit(0), fm.fit([], np.zeros(0))).count() == 0
 
 
+def test_repeated_ids_stay_within_the_samples(spark):
+    docs = spark.createDataFrame([(1, f"some words here {k}", "en") for k in range(500)] + [(2, "autres mots", "fr"), (None, "x y", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 0), (3, 1)], "doc_id long, quality int")
+    assert [(r["id"], r["label"]) for _, r in fm.training_rows(docs, labels, "doc_id", "text").iterrows()] == [(1, 1), (2, 0)]
+    assert list(lang.training_windows(docs, "doc_id", "text", "lang")["lang"]) == ["en", "fr"]
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(lang, "MOST_LANGS", 2)
+    docs = spark.createDataFrame([(k + 1, "text", f"l{k % 3}") for k in range(20)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        lang.train_model(docs)
+
+
 def test_language_held_out(spark):
     got = lang.op7_language_id(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet"), "doc_id").where("held_out").toPandas()
     assert (got["lang_pred"] == got["lang"]).mean() > 0.95
