@@ -34,6 +34,7 @@ LANGUAGES = {
 }
 TRANSLATOR_CODES = {"zh": "zh-CN", "nb": "no", "he": "iw"}
 #: Fields whose names are not translated: machine stamps, CRM internals, platforms known by one name.
+# Fields that packs leave out.
 SKIPPED = frozenset("created_at updated_at last_contacted utm_parameters metadata source_id source_service lead_status lifecycle_stage score owner email_opt_out subscribed verified referrer_url discord telegram".split())
 
 

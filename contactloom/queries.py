@@ -135,6 +135,24 @@ def header_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(spark, [h for h, _ in NORMAL_HEADERS])
 
 
+PUNCTUATED_HEADERS = [("first name:", "first_name"), ("company name*", "company"), ("(email)", "email"), ("work phone.", "work_phone"), ("Date of Birth?", "birthday"), ("Zip/Code", "postal_code"), ("* last  name", "last_name"), ("e-mail address (2)", "email")]
+
+
+@_registered(_values_sql([(h, c, 0.95, "normalized") for h, c in PUNCTUATED_HEADERS]))
+def header_punctuated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers with marks of forms: everything but word characters is one underscore."""
+    return _verdicts(spark, [h for h, _ in PUNCTUATED_HEADERS])
+
+
+AUTOFILL_HEADERS = [("given-name", "first_name"), ("family-name", "last_name"), ("street-address", "address_line1"), ("organization-title", "job_title"), ("honorific-prefix", "prefix"), ("address-level2", "city"), ("http_referer", "referrer_url"), ("lastmodifieddate", "updated_at")]
+
+
+@_registered(_values_sql([(h, c, 1.0, "exact") for h, c in AUTOFILL_HEADERS]))
+def header_autofill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of web forms and names of exports that are aliases as they are."""
+    return _verdicts(spark, [h for h, _ in AUTOFILL_HEADERS])
+
+
 @_registered(_values_sql([(h, c, x, "fuzzy") for h, c, x in FUZZY_HEADERS] + [(h, "unknown", 0.0, "none") for h in ("reply_to_email", "xyzzy", "Column A", "primary_phone_id")]))
 def header_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of misspelt headers, and headers that must stay unknown."""
