@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -23,19 +24,22 @@ from ..fields import (
     HEADER_CACHE,
     LIST_FIELDS,
     MAX_DEPTH,
+    NAME_FIELDS,
     PHONE_FIELDS,
     SHAPE,
     UNKNOWN,
+    ContactError,
     NormalizationError,
     WarningCategory,
 )
 from ..functions.phones import e164, embedded_numbers
 from ..functions.shapes import phone_candidate, reachable, shape_column
-from ..functions.values import WARNING, normalize_column, trim, value_warning, warning
+from ..functions.values import WARNING, base_text, normalize_column, trim, value_warning, warning
 from ..headers import FieldMatch, HeaderResolver, ShapeStrategy, Strategy, default_strategies, unknown
 from ..plans.mapping import MappingPlan
 
-ENTRY = "struct<field:string,values:array<string>>"
+ENTRY = "struct<pos:int,field:string,values:array<string>>"
+MERGED = "struct<pos:int,key:string,value:array<string>>"
 PAIR = "struct<key:string,value:string>"
 MATCH = "struct<original:string,canonical:string,confidence:double,strategy:string,service:string>"
 
@@ -165,15 +169,19 @@ class ContactMapper:
         """``df`` with matched columns renamed and normalised; strict raises on any warning."""
         region = default_region or self.default_region
         plan = self.compile_plan(df.columns, confidence_threshold=confidence_threshold, strict=strict, default_region=region)
+        # Stripped texts are a step of their own: normalisers read them more than once.
+        fields = {c: plan.matches[c].canonical for c in df.columns if normalize and plan.matches[c].canonical != UNKNOWN and isinstance(df.schema[c].dataType, T.StringType)}
+        texts = {c: f"_text{k}_{len(df.columns)}" for k, c in enumerate(fields) if fields[c] not in (*PHONE_FIELDS, *NAME_FIELDS)}
+        step = df.select("*", *(base_text(fields[c], F.col(_quote(c))).alias(name) for c, name in texts.items()))
         out = []
         for c, name in zip(df.columns, self.output_names(df.columns, plan), strict=True):
             field, column = plan.matches[c].canonical, F.col(_quote(c))
             if normalize and field != UNKNOWN and isinstance(df.schema[c].dataType, T.StringType):
-                column = normalize_column(field, column, region)
+                column = normalize_column(field, column, region, F.col(texts[c]) if c in texts else None)
             elif normalize and field in LIST_FIELDS and isinstance(df.schema[c].dataType, T.ArrayType):
                 column = F.filter(F.transform(column, lambda x: trim(x.cast("string"))), lambda x: x != "")
             out.append(column.alias(name))
-        mapped = df.select(*out)
+        mapped = step.select(*out)
         if strict and (found := self.column_warnings(df, normalize=normalize, default_region=region).limit(20).collect()):
             raise NormalizationError("; ".join(r["message"] for r in found))
         return mapped
@@ -233,8 +241,8 @@ class ContactMapper:
     def map_json(self, df: DataFrame, column: str = "json", *, keep: Sequence[str] = (), depth: int = 1, headers: Sequence[str] | None = None, **options: Any) -> DataFrame:
         """The same for ragged rows: ``column`` holds one JSON object a row.
 
-        Headers are found by one pass over the keys unless given, at most 10,000 of them; rows have
-        only the cells whose keys they hold.  Keys of nested objects are opened up to ``depth``.
+        Headers are found by one pass over the keys unless given, and more than 10,000 of them are an
+        error; rows have only the cells whose keys they hold.  Keys of nested objects are opened up to ``depth``.
         """
         strict = options.pop("strict", False)
         if headers is None:
@@ -283,12 +291,19 @@ class ContactMapper:
         else:
             passed = [shape_column(cells[k].header, F.col(f"_t{k}"), F.col(f"_h{k}")).alias(f"_s{k}") for k in asked]
         step = step.select("*", *passed)
-        values = [self._value(cells[k], F.col(f"_c{k}"), f, normalize, region).alias(f"_v{k}") for k, f in static.items()]
+        texts = [k for k, f in static.items() if normalize and cells[k].kind == "string" and f not in (*PHONE_FIELDS, *NAME_FIELDS)]
+        step = step.select("*", *(base_text(static[k], F.col(f"_c{k}")).alias(f"_b{k}") for k in texts))
+        values = [self._value(cells[k], F.col(f"_c{k}"), f, normalize, region, F.col(f"_b{k}") if k in texts else None).alias(f"_v{k}") for k, f in static.items()]
         if custom or floor <= SHAPE:
             values += [self._shaped_value(cells[k], k, normalize, more, region).alias(f"_v{k}") for k in asked]
         step = step.select("*", *values)
 
+        # Fields that only headers decide are merged from their own cells; others from entries by row.
+        shaped = {f for k in asked for f in (*reachable(cells[k].header), *more)} if custom or floor <= SHAPE else set()
+        shaped |= {"phone"} if embedded else set()
         matches, unmapped, warnings, entries, texts = [], [], [], [], []
+        own: dict[str, list[tuple[int, Column | None, Column]]] = {}
+        hits, present = [], []
         for k, cell in enumerate(cells):
             there = F.lit(True) if cell.present is None else F.col(f"_p{k}")
             head, none = F.lit(cell.header), F.lit(None).cast("string")
@@ -318,33 +333,43 @@ class ContactMapper:
                     texts.append((0, cell.header, F.col(f"_c{k}")))
             found = F.struct(head.alias("original"), canonical.alias("canonical"), confidence.alias("confidence"), strategy.alias("strategy"), none.alias("service"))
             matches.append(F.when(there, found) if cell.present is not None else found)
+            present.append(F.lit(1) if cell.present is None else there.cast("int"))
             if k not in static:
                 unmapped.append(F.when(there & ~hit, F.struct(head.alias("key"), raw.alias("value"))))
-            if f"_v{k}" in step.columns:
-                entries.append(F.when(there & hit, F.struct(canonical.alias("field"), F.col(f"_v{k}").alias("values"))))
+            if k in static or (k in asked and (custom or floor <= SHAPE)):
+                hits.append((there & hit).cast("int"))
+                if k in static and static[k] not in shaped and not (custom and asked):
+                    own.setdefault(static[k], []).append((k, None if cell.present is None else there, F.col(f"_v{k}")))
+                else:
+                    entries.append(F.when(there & hit, F.struct(F.lit(k).alias("pos"), canonical.alias("field"), F.col(f"_v{k}").alias("values"))))
         if embedded:
             step, more = self._embed(step, texts, region)
-            entries.append(F.when(F.size("_extra") > 0, F.struct(F.lit("phone").alias("field"), F.array_distinct(F.transform("_extra", lambda x: x["e164"])).alias("values"))))
+            extra = F.array_distinct(F.transform("_extra", lambda x: x["e164"]))
+            entries.append(F.when(F.size("_extra") > 0, F.struct(F.lit(len(cells)).alias("pos"), F.lit("phone").alias("field"), extra.alias("values"))))
             warnings += more
-        step = step.select(*kept, *(["_extra"] if embedded else []), _array(entries, ENTRY).alias("_entries"), F.map_from_entries(_array(unmapped, PAIR)).alias("unmapped"), _array(matches, MATCH).alias("field_matches"), _array(warnings, WARNING).alias("warnings"))
+            hits.append(F.size("_extra"))
+            present.append(F.size("_extra"))
+        sums = [reduce(Column.__add__, x, F.lit(0)).alias(name) for x, name in ((hits, "matched"), (present, "_cells"))]
+        step = step.select(*kept, *(["_extra"] if embedded else []), *sums, _merged(own, entries).alias("_merged"), F.map_from_entries(_array(unmapped, PAIR)).alias("unmapped"), _array(matches, MATCH).alias("field_matches"), _array(warnings, WARNING).alias("warnings"))
         found = F.col("field_matches")
         if embedded:
             found = F.concat(found, F.transform("_extra", lambda x: F.struct(x["header"].alias("original"), F.lit("phone").alias("canonical"), F.lit(SHAPE).alias("confidence"), F.lit("embedded_phone").alias("strategy"), F.lit(None).cast("string").alias("service"))))
-        step = step.select(*kept, merged_entries(F.col("_entries")).alias("normalized"), "unmapped", found.alias("field_matches"), "warnings")
-        matched, total = F.size(F.filter("field_matches", lambda m: m["canonical"] != UNKNOWN)), F.size("field_matches")
-        step = step.select("*", matched.alias("matched"), (total - matched).alias("unmatched"))
-        rate = F.when(F.size("field_matches") > 0, F.col("matched") / F.size("field_matches")).otherwise(0.0)
-        return step.select("*", rate.alias("match_rate"), identity_keys(F.col("normalized")).alias("identity_keys"))
+        merged = F.map_from_entries("_merged") if not entries else F.map_from_entries(F.transform(F.sort_array("_merged"), lambda x: F.struct(x["key"], x["value"])))
+        step = step.select(*kept, merged.alias("normalized"), "unmapped", found.alias("field_matches"), "warnings", "matched", (F.col("_cells") - F.col("matched")).alias("unmatched"))
+        total = F.col("matched") + F.col("unmatched")
+        rate = F.when(total > 0, F.col("matched") / total).otherwise(0.0)
+        possible = None if custom and asked else {*own, *shaped, *static.values()}
+        return step.select("*", rate.alias("match_rate"), identity_keys(F.col("normalized"), possible).alias("identity_keys"))
 
     @staticmethod
-    def _value(cell: Cell, c: Column, field: str, normalize: bool, region: str | None) -> Column:
+    def _value(cell: Cell, c: Column, field: str, normalize: bool, region: str | None, text: Column | None = None) -> Column:
         if cell.kind == "array":
             if field in LIST_FIELDS:
                 return F.filter(F.transform(c, trim), lambda x: x != "") if normalize else c
             return F.array(F.to_json(c))
         if not normalize or cell.kind in ("scalar", "object"):
             return F.array(c)
-        made = normalize_column(field, c, region)
+        made = normalize_column(field, c, region, text)
         return made if field in LIST_FIELDS else F.array(made)
 
     @staticmethod
@@ -440,55 +465,90 @@ def _let(value: Column, body: Any) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def merged_entries(entries: Column) -> Column:
-    """MAP field -> values of (field, values) entries in column order.
+def _merge(field: Column, own: Column) -> Column:
+    """Values of one field from its (values) entries in column order.
 
     List fields are the first list as it is and then what later ones add; other fields hold their
     distinct non-blank values, or the first value where all are blank.
     """
+    every = F.flatten(F.transform(own, lambda e: F.coalesce(e["values"], F.array().cast("array<string>"))))
+    first = F.get(own, F.lit(0))["values"]
+
+    def pick(every: Column) -> Column:
+        good = F.array_distinct(F.filter(every, lambda x: ~_blank(x)))
+        lead = F.coalesce(F.get(F.filter(own, lambda e: F.size(e["values"]) > 0), F.lit(0))["values"], F.array().cast("array<string>"))
+        flat = F.concat(lead, F.array_except(F.array_distinct(every), lead))
+        return F.when(F.size(own) == 1, first).when(field.isin(*LIST_FIELDS), flat).when(F.size(good) > 0, good).otherwise(first)
 
-    def merge(field: Column, own: Column) -> Column:
-        every = F.flatten(F.transform(own, lambda e: F.coalesce(e["values"], F.array().cast("array<string>"))))
-        first = F.get(own, F.lit(0))["values"]
+    return _let(every, pick)
 
-        def pick(every: Column) -> Column:
-            good = F.array_distinct(F.filter(every, lambda x: ~_blank(x)))
-            lead = F.coalesce(F.get(F.filter(own, lambda e: F.size(e["values"]) > 0), F.lit(0))["values"], F.array().cast("array<string>"))
-            flat = F.concat(lead, F.array_except(F.array_distinct(every), lead))
-            return F.when(F.size(own) == 1, first).when(field.isin(*LIST_FIELDS), flat).when(F.size(good) > 0, good).otherwise(first)
 
-        return _let(every, pick)
+def merged_entries(entries: Column) -> Column:
+    """ARRAY<STRUCT<pos, key, value>> of (pos, field, values) entries in column order; ``pos`` is that
+    of a field's first entry."""
 
     def of_field(entries: Column) -> Column:
         fields = F.array_distinct(F.transform(entries, lambda e: e["field"]))
-        made = F.transform(fields, lambda f: F.struct(f.alias("key"), _let(F.filter(entries, lambda e: e["field"] == f), lambda own: merge(f, own)).alias("value")))
-        return F.map_from_entries(F.filter(made, lambda x: x["value"].isNotNull()))
+
+        def made(f: Column) -> Column:
+            return _let(F.filter(entries, lambda e: e["field"] == f), lambda own: F.struct(F.get(own, F.lit(0))["pos"].alias("pos"), f.alias("key"), _merge(f, own).alias("value")))
+
+        return F.filter(F.transform(fields, made), lambda x: x["value"].isNotNull())
 
     return _let(entries, of_field)
 
 
+def _merge_any(field: str) -> Any:
+    """Lambda: the merged values of entries, null without any."""
+    return lambda own: F.when(F.size(own) > 0, _merge(F.lit(field), own))
+
+
+def _merged(own: dict[str, list[tuple[int, Column | None, Column]]], entries: list[Column]) -> Column:
+    """The merged fields of a row: (key, value), with ``pos`` before them where ``entries`` of fields
+    that depend on values stand beside the ``own`` cells (place, presence, values) of others."""
+    made = []
+    for field, cells in own.items():
+        if len(cells) == 1:
+            [(pos, there, value)] = cells
+            value, at = value if there is None else F.when(there, value), F.lit(pos)
+        else:
+            each = [F.struct(F.lit(k).alias("pos"), v.alias("values")) if there is None else F.when(there, F.struct(F.lit(k).alias("pos"), v.alias("values"))) for k, there, v in cells]
+            value = _let(F.array_compact(F.array(*each)), _merge_any(field))
+            at = F.get(F.array_compact(F.array(*each)), F.lit(0))["pos"]
+        pair = [F.lit(field).alias("key"), value.alias("value")]
+        made.append(F.when(value.isNotNull(), F.struct(at.alias("pos"), *pair) if entries else F.struct(*pair)))
+    known = _array(made, MERGED if entries else MERGED.replace("pos:int,", ""))
+    return F.concat(known, merged_entries(_array(entries, ENTRY))) if entries else known
+
+
 def values_of(normalized: Column, field: str) -> Column:
     """Values of a field, empty where it is absent."""
     return F.coalesce(normalized[field], F.array().cast("array<string>"))
 
 
-def all_phones(normalized: Column) -> Column:
+def all_phones(normalized: Column, fields: Sequence[str] = PHONE_FIELDS) -> Column:
     """Values of the five phone fields in their order, distinct, blanks dropped."""
-    return F.array_distinct(F.filter(F.flatten(F.array(*(values_of(normalized, f) for f in PHONE_FIELDS))), lambda x: ~_blank(x)))
+    return F.array_distinct(F.filter(F.flatten(F.array(*(values_of(normalized, f) for f in fields))), lambda x: ~_blank(x)))
 
 
 def all_emails(normalized: Column) -> Column:
     return F.array_distinct(F.filter(values_of(normalized, "email"), lambda x: ~_blank(x)))
 
 
-def identity_keys(normalized: Column) -> Column:
-    """Prefixed distinct keys: e-mails, phones, source ids (under their service if it is one)."""
-    emails = F.transform(all_emails(normalized), lambda x: F.concat(F.lit("email:"), F.lower(trim(x))))
-    phones = F.transform(all_phones(normalized), lambda x: F.concat(F.lit("phone:"), trim(x)))
-    services = F.filter(values_of(normalized, "source_service"), lambda x: ~_blank(x))
-    prefix = F.when(F.size(services) == 1, F.concat(F.lit("source:"), F.lower(trim(F.get(services, F.lit(0)))), F.lit(":"))).otherwise(F.lit("source_id:"))
-    ids = F.transform(F.filter(values_of(normalized, "source_id"), lambda x: ~_blank(x)), lambda x: F.concat(prefix, trim(x)))
-    return F.array_distinct(F.concat(emails, phones, ids))
+def identity_keys(normalized: Column, possible: set[str] | None = None) -> Column:
+    """Prefixed distinct keys: e-mails, phones, source ids (under their service if it is one).
+    ``possible`` are the only fields that rows can have, where that is known."""
+    there = lambda f: possible is None or f in possible
+    parts = []
+    if there("email"):
+        parts.append(F.transform(all_emails(normalized), lambda x: F.concat(F.lit("email:"), F.lower(trim(x)))))
+    if phones := [f for f in PHONE_FIELDS if there(f)]:
+        parts.append(F.transform(all_phones(normalized, phones), lambda x: F.concat(F.lit("phone:"), trim(x))))
+    if there("source_id"):
+        services = F.filter(values_of(normalized, "source_service"), lambda x: ~_blank(x))
+        prefix = F.when(F.size(services) == 1, F.concat(F.lit("source:"), F.lower(trim(F.get(services, F.lit(0)))), F.lit(":"))).otherwise(F.lit("source_id:"))
+        parts.append(F.transform(F.filter(values_of(normalized, "source_id"), lambda x: ~_blank(x)), lambda x: F.concat(prefix, trim(x))))
+    return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")
 
 
 def get_match(header: str) -> Column:
@@ -496,48 +556,54 @@ def get_match(header: str) -> Column:
     return F.try_element_at(F.filter("field_matches", lambda m: m["original"] == header), F.lit(-1))
 
 
-def _count_map(counts: DataFrame, kind: str) -> Column:
+def _count_map(kind: str) -> Column:
     own = F.filter(F.collect_list(F.struct("kind", "name", "n")), lambda x: x["kind"] == kind)
     return F.map_from_entries(F.transform(F.sort_array(own), lambda x: F.struct(x["name"], x["n"])))
 
 
+def _profile_rows(results: DataFrame) -> DataFrame:
+    """(kind, name, n) in one pass over the results: of field matches by strategy and by canonical
+    field or unmapped header, of warnings by category, and of rows."""
+
+    def of_match(m: Column) -> Column:
+        known = m["canonical"] != UNKNOWN
+        field = F.struct(F.when(known, "canonical").otherwise("unmapped").alias("kind"), F.when(known, m["canonical"]).otherwise(m["original"]).alias("name"))
+        return F.array(F.struct(F.lit("strategy").alias("kind"), m["strategy"].alias("name")), field)
+
+    of_warning = lambda w: F.struct(F.lit("warning").alias("kind"), w["category"].alias("name"))
+    row = F.array(F.struct(F.lit("row").alias("kind"), F.lit("").alias("name")))
+    every = F.concat(row, F.flatten(F.transform("field_matches", of_match)), F.transform("warnings", of_warning))
+    return results.select(F.explode(every).alias("x")).groupBy("x.kind", "x.name").agg(F.count(F.lit(1)).alias("n"))
+
+
 def profile_counts(results: DataFrame) -> DataFrame:
     """(kind, name, n): counts by canonical field, unmapped header, strategy and warning category."""
-    m = results.select(F.explode("field_matches").alias("m")).select("m.*")
-    known = F.col("canonical") != UNKNOWN
-    kinds = F.array(
-        F.struct(F.lit("strategy").alias("kind"), F.col("strategy").alias("name")),
-        F.struct(F.when(known, "canonical").otherwise("unmapped").alias("kind"), F.when(known, F.col("canonical")).otherwise(F.col("original")).alias("name")),
-    )
-    named = m.select(F.explode(kinds).alias("x")).select("x.*")
-    warned = results.select(F.explode("warnings").alias("w")).select(F.lit("warning").alias("kind"), F.col("w.category").alias("name"))
-    return named.union(warned).groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
+    return _profile_rows(results).where("kind <> 'row'")
 
 
 def profile_results(results: DataFrame) -> DataFrame:
-    """One row: totals and the four count maps."""
-    totals = results.agg(
-        F.count(F.lit(1)).alias("rows_seen"),
-        F.coalesce(F.sum(F.size("field_matches")), F.lit(0)).alias("fields_seen"),
-        F.coalesce(F.sum("matched"), F.lit(0)).alias("matched"),
-        F.coalesce(F.sum("unmatched"), F.lit(0)).alias("unmatched"),
-        F.coalesce(F.sum(F.size("warnings")), F.lit(0)).alias("warning_count"),
-    )
-    counts = profile_counts(results)
-    maps = counts.agg(*(_count_map(counts, kind).alias(f"{kind}_counts") for kind in ("canonical", "unmapped", "strategy", "warning")))
+    """One row: totals and the four count maps, from one pass."""
+    counts = _profile_rows(results)
+    sums = {"rows_seen": "row", "fields_seen": "strategy", "matched": "canonical", "unmatched": "unmapped", "warning_count": "warning"}
+    totals = [F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(name) for name, kind in sums.items()]
+    maps = [_count_map(kind).alias(f"{kind}_counts") for kind in ("canonical", "unmapped", "strategy", "warning")]
+    row = counts.agg(*totals, *maps)
     rate = F.when(F.col("fields_seen") > 0, F.col("matched") / F.col("fields_seen")).otherwise(0.0)
-    return totals.withColumn("match_rate", rate).join(maps)  # one row each
+    return row.select(*sums, *(f"{kind}_counts" for kind in ("canonical", "unmapped", "strategy", "warning")), rate.alias("match_rate"))
 
 
 def json_headers(df: DataFrame, column: str, depth: int = 1, most: int = 10_000) -> list[str]:
-    """Distinct keys of the JSON objects, in order of first appearance by name; nested to ``depth``."""
+    """Distinct keys of the JSON objects, in order of first appearance by name; nested to ``depth``.
+    More than ``most`` at a level are an error: each is a column of the plan."""
     found: list[str] = []
     level = df.select(F.lit("").alias("path"), F.col(_quote(column)).alias("doc"))
     for n in range(max(1, min(MAX_DEPTH, depth))):
         deeper = n + 1 < min(MAX_DEPTH, depth)
         keyed = level.select("path", "doc", F.posexplode(F.json_object_keys("doc")).alias("pos", "key"))
         nested = F.max(F.json_object_keys(_at("doc", "key")).isNotNull()) if deeper else F.lit(False)
-        rows = keyed.groupBy("path", "key").agg(F.min("pos").alias("pos"), nested.alias("nested")).orderBy("pos", "path", "key").limit(most).collect()
+        rows = keyed.groupBy("path", "key").agg(F.min("pos").alias("pos"), nested.alias("nested")).orderBy("pos", "path", "key").limit(most + 1).collect()
+        if len(rows) > most:
+            raise ContactError(f"the rows hold more than {most} different keys; name the headers to map")
         found += [f"{r['path']}{r['key']}" for r in rows if not r["nested"]]
         if not any(r["nested"] for r in rows):
             break
