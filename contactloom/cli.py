@@ -20,6 +20,7 @@ from .plans.mapping import MappingPlan
 from .session import ship
 from .sources.readers import JSON_BYTES, detect_format, looks_headerless, read_rows
 from .sources.writers import MATERIALIZED_ROWS, row_json, write_quarantine, write_results
+from .storage import discard, persist
 
 OK, ERROR, PARTIAL = 0, 1, 2
 SUMMARY = 20
@@ -95,18 +96,19 @@ def run_map(args: argparse.Namespace) -> int:
     headers = [c for c in rows.columns if c != "_row_number"]
     if in_fmt == "csv" and looks_headerless(headers):
         _say("warning: the first line looks like data, not like headers")
-    results = _mapped(mapper, in_fmt, rows, normalize=not args.no_normalize, extract_embedded_phones=args.embedded_phones, default_region=region)
+    # Mapped once: warnings, statistics, the count and the output all read the written rows.
+    results = written = persist(_mapped(mapper, in_fmt, rows, normalize=not args.no_normalize, extract_embedded_phones=args.embedded_phones, default_region=region), "cli-mapped")
     if args.strict:
         bad = results.where(F.size("warnings") > 0).select(F.col("_row_number").alias("row"), F.array_join("warnings.message", "; ").alias("error"), F.lit(None).cast("string").alias("raw"))
         if args.on_error == "fail" and (first := bad.orderBy("row").limit(1).collect()):
             raise ContactError(f"row {first[0]['row']}: {first[0]['error']}")
         rejects = rejects.union(bad)
         results = results.where(F.size("warnings") == 0)
-    verdicts = run_stats(results).orderBy("header").collect()
+    verdicts = sorted(run_stats(results).collect(), key=lambda v: v["header"])
     total = results.count()
     if args.dedupe:
         results = dedupe(results, "identity_keys", "_row_number")
-    results = results.orderBy("_row_number") if fmt != "jsonl" or not out else results
+    results = results.orderBy("_row_number") if fmt != "jsonl" or not out or args.dedupe else results
     if out:
         write_results(results, out, fmt, keep_unmapped=args.keep_unmapped, single_file=True, max_rows=args.max_materialized_rows)
     else:
@@ -114,6 +116,7 @@ def run_map(args: argparse.Namespace) -> int:
         print(json.dumps(found, indent=2, ensure_ascii=False) if fmt == "json" else "\n".join(json.dumps(r, ensure_ascii=False) for r in found))
     kept = results.count() if args.dedupe else total
     failed = write_quarantine(rejects, quarantine) if args.on_error == "quarantine" else rejects.count()
+    discard(written)
     if args.schema_out:
         seen = headers if in_fmt == "csv" else list(dict.fromkeys(v["header"] for v in verdicts))
         mapper.compile_plan(seen, default_region=region).save(args.schema_out)

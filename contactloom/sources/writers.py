@@ -101,8 +101,9 @@ def collect_capped(rows: DataFrame, cap: int | None) -> list:
 
 
 def write_results(results: DataFrame, path: str, fmt: str = "jsonl", *, keep_unmapped: bool = False, single_file: bool = False, max_rows: int | None = MATERIALIZED_ROWS) -> None:
-    """Distributed output folders by default; ``single_file`` makes one local file, atomically, of at
-    most ``max_rows`` rows (0 or None: any number)."""
+    """Distributed output folders by default; ``single_file`` makes one local file, atomically.  JSON
+    lines are written partition by partition, whatever their number; csv and json hold at most
+    ``max_rows`` rows (0 or None: any number)."""
     if fmt == "csv":
         rows = flat(results, keep_unmapped)
         if not single_file:
@@ -122,12 +123,13 @@ def write_results(results: DataFrame, path: str, fmt: str = "jsonl", *, keep_unm
         return
     import json
 
-    found = collect_capped(lines, max_rows if fmt == "json" else None)
     with atomic_file(path) as tmp:
         if fmt == "json":
+            found = collect_capped(lines, max_rows)
             tmp.write_text(json.dumps([json.loads(r[0]) for r in found], indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
         else:
-            tmp.write_text("".join(r[0] + "\n" for r in found), encoding="utf-8")
+            with tmp.open("w", encoding="utf-8") as f:
+                f.writelines(r[0] + "\n" for r in lines.toLocalIterator(prefetchPartitions=True))
 
 
 def write_quarantine(rejects: DataFrame, path: str) -> int:
