@@ -278,7 +278,7 @@ class ContactMapper:
         custom = any(not isinstance(s, ShapeStrategy) for s in valued)
         more = tuple(dict.fromkeys(f for s in valued for f in s.fields))
         kept = [F.col(_quote(k)) for k in keep]
-        static = {k: c.match.canonical for k, c in enumerate(cells) if c.match is not None and c.match.confidence >= floor}
+        static = {k: c.match.canonical for k, c in enumerate(cells) if c.match is not None and c.match.canonical != UNKNOWN and c.match.confidence >= floor}
         asked = [k for k, c in enumerate(cells) if c.match is None and valued and c.kind in ("string", "scalar")]
         wide = [c.value.alias(f"_c{k}") for k, c in enumerate(cells)] + [c.present.alias(f"_p{k}") for k, c in enumerate(cells) if c.present is not None]
         step = df.select(*kept, *wide)
@@ -324,7 +324,7 @@ class ContactMapper:
                     warnings.append(F.when(there & (shape == "birthday"), value_warning(cell.header, "birthday", F.get(F.col(f"_v{k}"), F.lit(0)))))
                 texts.append((0, cell.header, F.when(shape.isNull(), F.col(f"_c{k}"))))
             else:
-                if cell.match is not None:
+                if cell.match is not None and cell.match.canonical != UNKNOWN:  # an unknown verdict is one that a plan froze
                     warnings.append(F.when(there, warning(WarningCategory.LOW_CONFIDENCE, F.lit(self._low(cell.match, floor)), cell.header)))
                 elif k in asked:
                     low = F.concat(F.lit(f"{cell.header!r}: dropped low-confidence match to '"), F.col(f"_s{k}"), F.lit(f"' (confidence {SHAPE:.2f} < threshold {floor:.2f})"))

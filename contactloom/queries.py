@@ -6,6 +6,7 @@ normalising them must give.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,16 +14,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from .aliases import AliasRegistry
 from .fields import ALL_FIELDS
 from .functions import names, phones, values
 from .functions.shapes import phone_candidate, shape_column
+from .i18n import generate_language
 from .operators.dedupe import dedupe, dedupe_single
 from .operators.header_tables import resolve_headers
 from .operators.mapper import ContactMapper, all_emails, all_phones, profile_counts, profile_results, values_of
 from .operators.reports import run_stats
-from .sources.writers import row_json
+from .plans.mapping import MappingPlan
+from .sources.readers import read_csv, read_json, read_jsonl
+from .sources.writers import row_json, write_results
 from .storage import scratch_root
-from .streaming import dedupe_stream, map_stream
+from .streaming import dedupe_stream, map_stream, profile_stream, quarantine_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -563,6 +568,28 @@ def stream_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("event_id long, email string, zq string").parquet(out)
 
 
+@_registered("SELECT kind, name, n FROM (SELECT count(*) AS n FROM events), (VALUES ('canonical', 'email'), ('unmapped', 'zq'), ('strategy', 'normalized'), ('strategy', 'none')) t(kind, name)")
+def stream_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A running profile of a file stream, in complete mode; its last state."""
+    name = f"stream_profile_{uuid.uuid4().hex}"
+    counts = profile_stream(map_stream(_streamed(spark, sf_dir).drop("_row_number"), _MAPPER))
+    _finished(counts.writeStream.format("memory").queryName(name).outputMode("complete"), spark)
+    return spark.table(name)
+
+
+@_registered("SELECT event_id % 4 AS part, CASE WHEN event_id % 4 IN (0, 3) THEN 'good' WHEN event_id % 4 = 1 THEN 'invalid JSON' ELSE 'row is not a JSON object' END AS verdict, count(*) AS n FROM events GROUP BY ALL")
+def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of JSON lines parted into objects and quarantined lines."""
+    base, k = f"{scratch_root(spark)}/stream-quarantine-{uuid.uuid4().hex}", F.col("event_id")
+    source = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events*.parquet")
+    lines = stream.select(F.when(k % 4 == 1, F.concat(F.lit("{broken "), k.cast("string"))).when(k % 4 == 2, F.format_string("[%d]", k)).otherwise(F.format_string('{"k": %d}', k)).alias("value"))
+    _finished(quarantine_stream(lines, f"{base}/good", f"{base}/bad"), spark)
+    good = spark.read.schema("json string").parquet(f"{base}/good").select(F.get_json_object("json", "$.k").alias("k"), F.lit("good").alias("verdict"))
+    bad = spark.read.schema("error string, raw string").json(f"{base}/bad").select(F.regexp_extract("raw", r"(\d+)", 1).alias("k"), F.col("error").alias("verdict"))
+    return good.union(bad).groupBy((F.col("k").cast("long") % 4).alias("part"), "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
 @_registered("SELECT min(event_id) AS event_id FROM events GROUP BY user_id")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deduplication of a file stream against recorded keys."""
@@ -572,6 +599,122 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").select(F.col("_row_number").alias("event_id"))
 
 
+# Sources, sinks, plans and language packs, through files in the shared folder.
+
+
+def _file_of(spark: SparkSession, lines: DataFrame, order: str) -> str:
+    """``lines`` (value) as a folder of one text file, in order."""
+    path = f"{scratch_root(spark)}/source-{uuid.uuid4().hex}"
+    lines.repartition(1).sortWithinPartitions(order).select("value").write.text(path)
+    return path
+
+
+@_registered("SELECT c_custkey + 1 AS place, CASE c_custkey % 5 WHEN 1 THEN 'invalid JSON' WHEN 2 THEN 'row is not a JSON object' END AS error, CASE WHEN c_custkey % 5 NOT IN (1, 2) THEN lower(c_name) END AS email FROM customer WHERE c_custkey % 5 <> 3")
+def source_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines with blank and broken ones: the rows mapped, and the rejects with their line numbers."""
+    k = F.col("c_custkey")
+    value = F.when(k % 5 == 1, '{"E-Mail": ').when(k % 5 == 2, F.format_string("[%d]", k)).when(k % 5 == 3, "  ").otherwise(F.to_json(F.struct(F.col("c_name").alias("E-Mail"))))
+    rows, rejects = read_jsonl(spark, _file_of(spark, table(spark, sf_dir, "customer").select(k, value.alias("value")), "c_custkey"))
+    mapped = _MAPPER.map_json(rows, keep=["_row_number"]).select(F.col("_row_number").alias("place"), F.lit(None).cast("string").alias("error"), _text("email").alias("email"))
+    return mapped.union(rejects.select("row", "error", F.lit(None).cast("string")))
+
+
+@_registered("SELECT c_custkey + 2 AS place, lower(c_name) AS email, CASE WHEN c_custkey % 2 = 0 THEN 'two' || chr(10) || 'lines, \"quoted\"' ELSE '' END AS notes FROM customer")
+def source_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV with quoted line ends and quotes, short rows padded and surplus cells dropped."""
+    k = F.col("c_custkey")
+    line = F.when(k % 2 == 0, F.concat("c_name", F.lit(',"two\nlines, ""quoted""",surplus'))).otherwise(F.col("c_name"))
+    lines = table(spark, sf_dir, "customer").select(k, line.alias("value")).union(spark.createDataFrame([(-1, "E-Mail,Notes")], "c_custkey long, value string"))
+    rows, _ = read_csv(spark, _file_of(spark, lines, "c_custkey"))
+    mapped = _MAPPER.map_columns(rows.withColumnRenamed("_row_number", "zz place"))
+    return mapped.select(F.col("zz place").alias("place"), "email", "notes")
+
+
+@_registered("SELECT c_custkey + 1 AS place, lower(c_name) AS email FROM customer WHERE c_custkey < 200")
+def source_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON array, its elements as rows (a guarded source: the first 200 customers)."""
+    few = table(spark, sf_dir, "customer").where("c_custkey < 200")
+    items = F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: F.to_json(F.struct(x["c_name"].alias("E-Mail"))))
+    whole = few.agg(F.concat(F.lit("["), F.array_join(items, ",\n"), F.lit("]")).alias("value"))
+    rows, _ = read_json(spark, _file_of(spark, whole, "value"))
+    return _MAPPER.map_json(rows, keep=["_row_number"]).select(F.col("_row_number").alias("place"), _text("email").alias("email"))
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.alias("zq Key"), F.col("c_name").alias("E-Mail"), F.concat(F.lit("a; b"), k.cast("string")).alias("tags"))
+    return _MAPPER.map(rows)
+
+
+@_registered("SELECT lower(c_name) AS email, 'a; b' || c_custkey AS tags, CAST(c_custkey AS VARCHAR) AS key FROM customer")
+def sink_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A distributed CSV folder with unmapped columns, read back."""
+    path = f"{scratch_root(spark)}/sink-{uuid.uuid4().hex}"
+    write_results(_exported(spark, sf_dir), path, "csv", keep_unmapped=True)
+    return spark.read.csv(path, header=True, schema="email string, tags string, key string")
+
+
+@_registered("SELECT lower(c_name) AS email, 'a|b' || c_custkey AS tags, CAST(c_custkey AS VARCHAR) AS key FROM customer")
+def sink_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A distributed folder of JSON lines with unmapped cells, read back."""
+    path = f"{scratch_root(spark)}/sink-{uuid.uuid4().hex}"
+    write_results(_exported(spark, sf_dir), path, "jsonl", keep_unmapped=True)
+    back = spark.read.json(path, schema="email string, tags array<string>, `zq Key` string")
+    return back.select("email", F.array_join("tags", "|").alias("tags"), F.col("zq Key").alias("key"))
+
+
+@_registered("SELECT c_custkey AS id_key, lower(c_name) AS email, c_mktsegment AS \"Compny\" FROM customer")
+def plan_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved plan, read by another mapper with its unknown verdicts frozen, applied to rows."""
+    strict = _MAPPER.compile_plan(["E-Mail", "Compny"], confidence_threshold=0.9)
+    plan = MappingPlan.from_dict(strict.to_dict(), ContactMapper(), freeze_unknown=True)
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id_key"), F.col("c_name").alias("E-Mail"), F.col("c_mktsegment").alias("Compny"))
+    r = plan.apply(rows, keep=["id_key"])
+    return r.select("id_key", _text("email").alias("email"), F.col("unmapped")["Compny"].alias("Compny"))
+
+
+@_registered("SELECT c_custkey AS id_key, CASE WHEN c_custkey % 5 = 4 THEN 'phone_normalization' END AS warning FROM customer")
+def strict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What strict runs keep and what they reject: rows with the category of their first warning."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id_key"), _phone_column().alias("Mobile Phone"))
+    r = _MAPPER.map(rows, keep=["id_key"])
+    return r.select("id_key", F.get(F.col("warnings"), F.lit(0))["category"].alias("warning"))
+
+
+@_registered(_values_sql([("vorname", "first_name", 1.0, "exact"), ("NachName!", "last_name", 0.95, "normalized"), ("Stadt Ort", "city", 1.0, "exact"), ("E-Mail", "email", 0.95, "normalized")]))
+def language_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of a generated language pack, over the built-in ones."""
+    words = {"first name": "Vorname", "last name": "nach name", "city": "Stadt Ort"}
+    with tempfile.TemporaryDirectory() as folder:  # packs are read on the driver only
+        generate_language("de", lambda phrases, code: [words.get(p, "") for p in phrases], folder, backoff=0)
+        own = ContactMapper(AliasRegistry(languages="de", language_dirs=[folder]))
+    rows = [(h, m.canonical, m.confidence, m.strategy) for h in ("vorname", "NachName!", "Stadt Ort", "E-Mail") for m in [own.identify(h)]]
+    return spark.createDataFrame(rows, "header string, canonical string, confidence double, strategy string")
+
+
+@_registered("SELECT c_custkey AS id_key, CASE c_custkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 1 END AS agree FROM customer")
+def phone_match_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of numbers of which one or none states a calling code, without a region."""
+    k = F.col("c_custkey")
+    digits = F.lpad((k % 10000).cast("string"), 4, "0")
+    a = F.concat(F.lit("+1202555"), digits)
+    b = F.when(k % 4 == 0, F.concat(F.lit("(202) 555-"), digits)).when(k % 4 == 1, a).when(k % 4 == 2, F.concat(F.lit("555-"), digits)).otherwise(F.concat(F.lit("+44202555"), digits))
+    return table(spark, sf_dir, "customer").select(k.alias("id_key"), phones.match_column(a, b, None).alias("agree"))
+
+
+_UK_PREFIXES = [("3001", 9), ("5612", 6), ("7012", 7), ("8451", 5), ("7640", 8), ("7912", 1), ("2079", 0), ("8001", 3), ("9098", 4)]
+
+
+@_registered("SELECT c_custkey AS id_key, CASE c_custkey % 9 " + " ".join(f"WHEN {n} THEN {kind}" for n, (_, kind) in enumerate(_UK_PREFIXES)) + " END AS kind, true AS valid FROM customer")
+def phone_types_uk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of British numbers by their leading digits."""
+    k = F.col("c_custkey")
+    lead = F.element_at(F.array(*(F.lit(p) for p, _ in _UK_PREFIXES)), (k % 9 + 1).cast("int"))
+    number = F.concat(F.lit("+44"), lead, F.lpad((k % 1000000).cast("string"), 6, "0"))
+    parsed = phones.phone_struct(number, None)
+    return table(spark, sf_dir, "customer").select(k.alias("id_key"), parsed.alias("p")).select("id_key", F.col("p.type").alias("kind"), F.col("p.valid").alias("valid"))
+
+
 # One large export, for throughput: a contact for each order line.
 
 

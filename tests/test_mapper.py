@@ -127,6 +127,31 @@ def test_dedupe_against_greedy(spark):
     assert sorted(r["n"] for r in dedupe_single(single, "k", "n").collect()) == [1, 3, 4]
 
 
+@pytest.mark.parametrize("most", [200_000, 300])
+def test_dedupe_of_long_chains(spark, monkeypatch, most):
+    """A path of many rows ends by components, not by a round for every other row."""
+    from contactloom.operators import dedupe as module
+
+    monkeypatch.setattr(module, "COMPONENT_KEYS", most)
+    monkeypatch.setattr(module, "ROUNDS", 2)
+    n = 160
+    table = [(k, [f"c{k}", f"c{k + 1}"]) for k in range(n)] + [(1000 + k, [f"d{k}", f"d{k + 1}", "hub" if k % 7 == 0 else f"x{k}"]) for k in range(40)]
+    if most == 300:
+        table = table[: 2 * 12] + [(500 + k, [f"d{k % 5}", f"e{k}"]) for k in range(200)]
+    df = spark.createDataFrame(table, "_row_number long, identity_keys array<string>")
+    assert sorted(r["_row_number"] for r in dedupe(df).collect()) == greedy(table)
+
+
+def test_too_many_keys_are_an_error(spark):
+    from contactloom import ContactError
+    from contactloom.operators.mapper import json_headers
+
+    df = spark.createDataFrame([(f'{{"k{k}": 1}}',) for k in range(6)], "json string")
+    assert len(json_headers(df, "json", most=6)) == 6
+    with pytest.raises(ContactError, match="more than 5"):
+        json_headers(df, "json", most=5)
+
+
 def test_nothing_shuffles_in_map(spark, mapper):
     df = spark.createDataFrame([("a@b.co", "x")], "email string, zq string")
     assert "Exchange" not in mapper.map(df)._jdf.queryExecution().executedPlan().toString()

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from contactloom import cli, i18n
+from contactloom import ContactMapper, cli, i18n
 from contactloom.aliases import AliasRegistry
 from contactloom.fields import ContactError
 from contactloom.sources.readers import dedupe_headers, detect_format, looks_headerless, read_rows
@@ -54,6 +54,16 @@ def test_row_cap(spark):
     assert len(collect_capped(spark.range(5), 5)) == len(collect_capped(spark.range(5), 0)) == 5
 
 
+def test_json_lines_have_no_cap(spark, tmp_path, monkeypatch):
+    from contactloom.sources import writers
+
+    monkeypatch.setattr(writers, "collect_capped", None)  # never called for JSON lines
+    results = ContactMapper().map(spark.createDataFrame([(f"u{k}@x.co",) for k in range(500)], "email string").repartition(3))
+    out = tmp_path / "out.jsonl"
+    writers.write_results(results, str(out), "jsonl", single_file=True, max_rows=10)
+    assert sorted(out.read_text().splitlines()) == sorted(f'{{"email":"u{k}@x.co"}}' for k in range(500))
+
+
 def test_map_command(spark, tmp_path, capsys):
     src, out, plan = tmp_path / "in.jsonl", tmp_path / "out.json", tmp_path / "plan.json"
     src.write_text('{"E-Mail": "A@b.co", "labels": "x,y", "verified": "yes", "zq": "1"}\nbroken\n{"E-Mail": "a@B.co"}\n')
