@@ -108,7 +108,10 @@ def content_digest(text: Column, count: TokenCount) -> Column:
     plain = ~text.rlike(f"[^{PLAIN.pattern[1:-2]}]")
     for token in count.added:
         plain = plain & ~text.contains(token)
-    form = F.btrim(F.regexp_replace(F.lower(text), r"[\t\n\r ]+", " "))
+    form = F.lower(text)
+    for mark in "\t\n\r":
+        form = F.replace(form, F.lit(mark), F.lit(" "))
+    form = F.btrim(F.when(form.contains("  "), F.regexp_replace(form, " {2,}", " ")).otherwise(form))
     return F.sha2(F.when(plain, F.concat(F.lit("n"), form)).otherwise(F.concat(F.lit("r"), text)).cast("binary"), 256)
 
 
@@ -133,20 +136,24 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str, limit: int = 2048
     spark = docs.sparkSession
     version = tokenizer_digest(vocabulary)
     text = F.coalesce(quoted(text_col), F.lit(""))
-    content = content_digest(text, counter(vocabulary))
-    rows = docs.select(quoted(id_col).alias("id"), text.alias("text"), content.alias("content"))
+    raw = F.unhex(F.sha2(text.cast("binary"), 256))
     known = read_cache(spark, cache).where(F.col("tokenizer") == version)
 
-    # One row of each missing content stands for all; its text is fetched by (id, content).
+    # Normal forms are made once; everything but the texts of misses is read from this table.
+    sized = docs.select(quoted(id_col).alias("id"), raw.alias("raw"), content_digest(text, counter(vocabulary)).alias("content"), F.octet_length(text).cast("long").alias("n_bytes"))
+    sized = persist(sized, "token-digests")
+
+    # One row of each missing content stands for all; its text is fetched by (id, raw digest).
     # Grouped before the join, so that copies shrink before they are shuffled.
-    contents = rows.groupBy("content").agg(F.min("id").alias("chosen"))
-    chosen = contents.join(known.select("content"), "content", "left_anti")
-    chosen = persist(chosen.withColumnRenamed("content", "digest"), "token-misses")
+    contents = sized.groupBy("content").agg(F.min(F.struct("id", "raw")).alias("x")).select("content", F.col("x.id").alias("chosen"), F.col("x.raw").alias("digest"))
+    chosen = persist(contents.join(known.select("content"), "content", "left_anti"), "token-misses")
     misses = chosen.count()
-    chosen = F.broadcast(chosen) if misses <= FEW_MISSES else chosen.hint("shuffle_hash")
-    texts = rows.join(chosen, (F.col("content") == F.col("digest")) & F.col("id").eqNullSafe(F.col("chosen")), "left_semi").select("content", "text")
-    if misses <= FEW_MISSES:
-        texts = texts.dropDuplicates(["content"])  # rows that are equal in id and content; the shuffled join brings them together
+    few = misses <= FEW_MISSES
+    # The build side holds digests only, each once, so its partitions are even.
+    rows = docs.select(quoted(id_col).alias("id"), text.alias("text"), raw.alias("raw"))
+    texts = rows.join(F.broadcast(chosen) if few else chosen.hint("shuffle_hash"), (F.col("raw") == F.col("digest")) & F.col("id").eqNullSafe(F.col("chosen"))).select("content", "text")
+    if few:
+        texts = texts.dropDuplicates(["content"])  # rows that are equal in id and text; the shuffled join brings them together
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count, seen = counter(vocabulary), set()
@@ -162,7 +169,6 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str, limit: int = 2048
         texts.mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     counts = persist(counts, "token-counts")  # a plain side, so that a join on a popular content can be split
-    sized = docs.select(quoted(id_col).alias("id"), content.alias("content"), F.octet_length(text).cast("long").alias("n_bytes"))
     return sized.join(counts, "content").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
