@@ -94,4 +94,5 @@ def shape_column(header: str, text: Column, phone: Column) -> Column:
         if guard == "postal" and "postal" not in hinted:
             test = test & ~text.rlike(r"^\d{5}$")
         chain = F.when(test, field) if chain is None else chain.when(test, field)
-    return F.when(F.length(text).between(1, SHAPE_LENGTH), chain)
+    # Every pattern needs one of these, so plain words are tested once.
+    return F.when(F.length(text).between(1, SHAPE_LENGTH) & text.rlike(r"(?i)[@\d]|http|www"), chain)

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..aliases import AliasRegistry
 from ..fields import (
+    DATE_FIELDS,
     EMBEDDED_PER_FIELD,
     EMBEDDED_PER_ROW,
     EMBEDDED_TEXT,
@@ -34,7 +35,7 @@ from ..fields import (
 )
 from ..functions.phones import e164, embedded_numbers
 from ..functions.shapes import phone_candidate, reachable, shape_column
-from ..functions.values import WARNING, base_text, normalize_column, trim, value_warning, warning
+from ..functions.values import WARNING, base_parts, base_text, normalize_column, trim, value_warning, warning
 from ..headers import FieldMatch, HeaderResolver, ShapeStrategy, Strategy, default_strategies, unknown
 from ..plans.mapping import MappingPlan
 
@@ -172,12 +173,14 @@ class ContactMapper:
         # Stripped texts are a step of their own: normalisers read them more than once.
         fields = {c: plan.matches[c].canonical for c in df.columns if normalize and plan.matches[c].canonical != UNKNOWN and isinstance(df.schema[c].dataType, T.StringType)}
         texts = {c: f"_text{k}_{len(df.columns)}" for k, c in enumerate(fields) if fields[c] not in (*PHONE_FIELDS, *NAME_FIELDS)}
+        parts = {c: f"_part{k}_{len(df.columns)}" for k, c in enumerate(texts) if fields[c] in (*DATE_FIELDS, *LIST_FIELDS)}
         step = df.select("*", *(base_text(fields[c], F.col(_quote(c))).alias(name) for c, name in texts.items()))
+        step = step.select("*", *(base_parts(fields[c], F.col(texts[c])).alias(name) for c, name in parts.items()))
         out = []
         for c, name in zip(df.columns, self.output_names(df.columns, plan), strict=True):
             field, column = plan.matches[c].canonical, F.col(_quote(c))
             if normalize and field != UNKNOWN and isinstance(df.schema[c].dataType, T.StringType):
-                column = normalize_column(field, column, region, F.col(texts[c]) if c in texts else None)
+                column = normalize_column(field, column, region, *(F.col(names[c]) if c in names else None for names in (texts, parts)))
             elif normalize and field in LIST_FIELDS and isinstance(df.schema[c].dataType, T.ArrayType):
                 column = F.filter(F.transform(column, lambda x: trim(x.cast("string"))), lambda x: x != "")
             out.append(column.alias(name))
@@ -293,7 +296,9 @@ class ContactMapper:
         step = step.select("*", *passed)
         texts = [k for k, f in static.items() if normalize and cells[k].kind == "string" and f not in (*PHONE_FIELDS, *NAME_FIELDS)]
         step = step.select("*", *(base_text(static[k], F.col(f"_c{k}")).alias(f"_b{k}") for k in texts))
-        values = [self._value(cells[k], F.col(f"_c{k}"), f, normalize, region, F.col(f"_b{k}") if k in texts else None).alias(f"_v{k}") for k, f in static.items()]
+        parts = [k for k in texts if static[k] in (*DATE_FIELDS, *LIST_FIELDS)]
+        step = step.select("*", *(base_parts(static[k], F.col(f"_b{k}")).alias(f"_q{k}") for k in parts))
+        values = [self._value(cells[k], F.col(f"_c{k}"), f, normalize, region, F.col(f"_b{k}") if k in texts else None, F.col(f"_q{k}") if k in parts else None).alias(f"_v{k}") for k, f in static.items()]
         if custom or floor <= SHAPE:
             values += [self._shaped_value(cells[k], k, normalize, more, region).alias(f"_v{k}") for k in asked]
         step = step.select("*", *values)
@@ -362,14 +367,14 @@ class ContactMapper:
         return step.select("*", rate.alias("match_rate"), identity_keys(F.col("normalized"), possible).alias("identity_keys"))
 
     @staticmethod
-    def _value(cell: Cell, c: Column, field: str, normalize: bool, region: str | None, text: Column | None = None) -> Column:
+    def _value(cell: Cell, c: Column, field: str, normalize: bool, region: str | None, text: Column | None = None, parts: Column | None = None) -> Column:
         if cell.kind == "array":
             if field in LIST_FIELDS:
                 return F.filter(F.transform(c, trim), lambda x: x != "") if normalize else c
             return F.array(F.to_json(c))
         if not normalize or cell.kind in ("scalar", "object"):
             return F.array(c)
-        made = normalize_column(field, c, region, text)
+        made = normalize_column(field, c, region, text, parts)
         return made if field in LIST_FIELDS else F.array(made)
 
     @staticmethod
