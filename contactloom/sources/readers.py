@@ -60,10 +60,10 @@ def with_row_number(df: DataFrame, name: str = "_row_number", first: int = 1) ->
         offsets.append((pid, total))
         total += n
     if not offsets:
-        return df.withColumn(name, F.lit(None).cast("long")).select(name, *df.columns)
-    ahead = F.element_at(F.create_map(*(F.lit(x) for o in offsets for x in o)), F.col("_pid"))
+        return df.withColumn(name, F.lit(None).cast("long")).select(F.col(name), *(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
+    ahead = F.broadcast(df.sparkSession.createDataFrame(offsets, "_pid int, _ahead long"))  # one row a partition
     inside = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return marked.select((ahead + inside).cast("long").alias(name), *df.columns)
+    return marked.join(ahead, "_pid").select((F.col("_ahead") + inside).cast("long").alias(name), *(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
 
 
 def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from contactloom.functions import values
+from contactloom.functions import phones, values
 from contactloom.functions.names import normalize_name, split_name
 from contactloom.functions.phones import MatchType, NumberType, find_numbers, format_e164, format_international, format_national, is_number_match, number_type, parse
 from contactloom.functions.shapes import shape_of
@@ -108,3 +108,20 @@ def test_embedded_numbers_of_whole_texts(spark):
     text = "x" * 8190 + " +1 (202) 555-0123 " + "y " * 5000 + "+1 (202) 555-0124"
     found = lambda **cap: [x["e164"] for x in spark.createDataFrame([(text,)], "t string").select(phones.embedded_numbers(F.col("t"), "US", 9, **cap)).first()[0]]
     assert found() == ["+12025550123", "+12025550124"] and found(longest=8192) == []
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "want"),
+    [
+        ("2025550143", "+12025550143", 3), ("+12025550143", "+1 202 555 0143", 4), ("2025550143", "(202) 555-0143", 3), ("2025550143", "5550143", 2), ("+12025550143", "5550143", 2),
+        ("nothing", "+12025550143", 0), ("", "2025550143", 0), ("+12025550143 ext 5", "+12025550143", 2), ("+12025550143 ext 5", "+12025550143 ext 6", 1), ("+12025550143", "+442025550143", 1), ("+12025550143", "2025550144", 1),
+    ],
+)
+def test_numbers_without_a_region(a, b, want):
+    assert phones.is_number_match(a, b) == phones.is_number_match(b, a) == want
+
+
+def test_types_and_leading_digits():
+    kinds = {"+443001234567": 9, "+445612345678": 6, "+447012345678": 7, "+448451234567": 5, "+447640123456": 8, "+447912345678": 1, "+442079460123": 0, "+33912345678": 6, "+4970012345678": 7, "+18005550143": 3}
+    assert {n: phones.number_type(phones.parse(n)) for n in kinds} == kinds
+    assert not phones.is_valid("+44 1111111111") and phones.is_valid("+44 20 7946 0123")
