@@ -602,41 +602,44 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sources, sinks, plans and language packs, through files in the shared folder.
 
 
-def _file_of(spark: SparkSession, lines: DataFrame, order: str) -> str:
-    """``lines`` (value) as a folder of one text file, in order."""
-    path = f"{scratch_root(spark)}/source-{uuid.uuid4().hex}"
-    lines.repartition(1).sortWithinPartitions(order).select("value").write.text(path)
+def _written_lines(lines: DataFrame) -> str:
+    """``lines`` (value) as a folder of text files."""
+    path = f"{scratch_root(lines.sparkSession)}/source-{uuid.uuid4().hex}"
+    lines.select("value").write.text(path)
     return path
 
 
-@_registered("SELECT c_custkey + 1 AS place, CASE c_custkey % 5 WHEN 1 THEN 'invalid JSON' WHEN 2 THEN 'row is not a JSON object' END AS error, CASE WHEN c_custkey % 5 NOT IN (1, 2) THEN lower(c_name) END AS email FROM customer WHERE c_custkey % 5 <> 3")
+@_registered(
+    """SELECT CASE c_custkey % 5 WHEN 1 THEN 'invalid JSON' WHEN 2 THEN 'row is not a JSON object' END AS error, CASE WHEN c_custkey % 5 NOT IN (1, 2) THEN lower(c_name) END AS email,
+    CASE c_custkey % 5 WHEN 1 THEN '{"E-Mail": ' || c_custkey WHEN 2 THEN '[' || c_custkey || ']' END AS raw FROM customer WHERE c_custkey % 5 <> 3"""
+)
 def source_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON lines with blank and broken ones: the rows mapped, and the rejects with their line numbers."""
+    """JSON lines with blank and broken ones: the rows mapped, and the rejects."""
     k = F.col("c_custkey")
-    value = F.when(k % 5 == 1, '{"E-Mail": ').when(k % 5 == 2, F.format_string("[%d]", k)).when(k % 5 == 3, "  ").otherwise(F.to_json(F.struct(F.col("c_name").alias("E-Mail"))))
-    rows, rejects = read_jsonl(spark, _file_of(spark, table(spark, sf_dir, "customer").select(k, value.alias("value")), "c_custkey"))
-    mapped = _MAPPER.map_json(rows, keep=["_row_number"]).select(F.col("_row_number").alias("place"), F.lit(None).cast("string").alias("error"), _text("email").alias("email"))
-    return mapped.union(rejects.select("row", "error", F.lit(None).cast("string")))
+    value = F.when(k % 5 == 1, F.format_string('{"E-Mail": %d', k)).when(k % 5 == 2, F.format_string("[%d]", k)).when(k % 5 == 3, "  ").otherwise(F.to_json(F.struct(F.col("c_name").alias("E-Mail"))))
+    rows, rejects = read_jsonl(spark, _written_lines(table(spark, sf_dir, "customer").select(value.alias("value"))))
+    none = F.lit(None).cast("string")
+    mapped = _MAPPER.map_json(rows).select(none.alias("error"), _text("email").alias("email"), none.alias("raw"))
+    return mapped.union(rejects.select("error", none, "raw"))
 
 
-@_registered("SELECT c_custkey + 2 AS place, lower(c_name) AS email, CASE WHEN c_custkey % 2 = 0 THEN 'two' || chr(10) || 'lines, \"quoted\"' ELSE '' END AS notes FROM customer")
+@_registered("SELECT n_nationkey + 2 AS place, lower(n_name) AS email, CASE WHEN n_nationkey % 2 = 0 THEN 'two' || chr(10) || 'lines, \"quoted\"' ELSE '' END AS notes FROM nation")
 def source_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CSV with quoted line ends and quotes, short rows padded and surplus cells dropped."""
-    k = F.col("c_custkey")
-    line = F.when(k % 2 == 0, F.concat("c_name", F.lit(',"two\nlines, ""quoted""",surplus'))).otherwise(F.col("c_name"))
-    lines = table(spark, sf_dir, "customer").select(k, line.alias("value")).union(spark.createDataFrame([(-1, "E-Mail,Notes")], "c_custkey long, value string"))
-    rows, _ = read_csv(spark, _file_of(spark, lines, "c_custkey"))
+    """One CSV file with quoted line ends and quotes, short rows padded and surplus cells dropped."""
+    k = F.col("n_nationkey")
+    line = F.when(k % 2 == 0, F.concat("n_name", F.lit(',"two\nlines, ""quoted""",surplus'))).otherwise(F.col("n_name"))
+    lines = table(spark, sf_dir, "nation").select(k, line.alias("value")).union(spark.createDataFrame([(-1, "E-Mail,Notes")], "n_nationkey long, value string"))
+    rows, _ = read_csv(spark, _written_lines(lines.repartition(1).sortWithinPartitions("n_nationkey")))
     mapped = _MAPPER.map_columns(rows.withColumnRenamed("_row_number", "zz place"))
     return mapped.select(F.col("zz place").alias("place"), "email", "notes")
 
 
-@_registered("SELECT c_custkey + 1 AS place, lower(c_name) AS email FROM customer WHERE c_custkey < 200")
+@_registered("SELECT n_nationkey + 1 AS place, lower(n_name) AS email FROM nation")
 def source_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON array, its elements as rows (a guarded source: the first 200 customers)."""
-    few = table(spark, sf_dir, "customer").where("c_custkey < 200")
-    items = F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: F.to_json(F.struct(x["c_name"].alias("E-Mail"))))
-    whole = few.agg(F.concat(F.lit("["), F.array_join(items, ",\n"), F.lit("]")).alias("value"))
-    rows, _ = read_json(spark, _file_of(spark, whole, "value"))
+    """One JSON array (a source guarded by its size), its elements as rows."""
+    items = F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.to_json(F.struct(x["n_name"].alias("E-Mail"))))
+    whole = table(spark, sf_dir, "nation").agg(F.concat(F.lit("["), F.array_join(items, ",\n"), F.lit("]")).alias("value"))
+    rows, _ = read_json(spark, _written_lines(whole))
     return _MAPPER.map_json(rows, keep=["_row_number"]).select(F.col("_row_number").alias("place"), _text("email").alias("email"))
 
 
