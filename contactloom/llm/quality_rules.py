@@ -7,10 +7,12 @@ by the number of n-grams; a document is kept where it reaches a threshold.  That
 trusted documents' own scores, each against counts without its fold: all but a share ``SPARED`` of
 them reach it by ``MARGIN``.
 
-The raw counts cover every document.  The trusted ones are a bounded sample of labelled rows
-(``TRUSTED_ROWS``, by hash order), so that their ids can be broadcast and no text is shuffled.  Only
-counts by bucket and fold, and by thousandths of a score, ever reach the driver.  Values that a lambda reads more than once are bound by ``_let``: an inlined column
-would be computed again for every array element.
+The raw counts cover every document, the trusted ones and the threshold every trusted document.
+Which documents are trusted is found by joins on their ids; a broadcast table of hash bits, of bounded
+size, first tells which ids cannot be trusted, so that only the texts of the others are shuffled, once.
+Scores go to the threshold's join without their texts.  Only counts by bucket and fold, and by
+thousandths of a score, ever reach the driver.  Values that a lambda reads more than once are bound by
+``_let``: an inlined column would be computed again for every array element.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ WINDOW = 5
 BUCKETS = 1 << 14
 #: Counts, not a share of the trusted ones: with few of those, clean texts outside them would fall.
 PRIOR = 1 << 17
-TRUSTED_ROWS = 20_000
+#: Rows of 64 hash bits of trusted ids; with many more ids than bits more texts are shuffled.
+BIT_WORDS = 1 << 18
 FOLDS = 5
 SPARED, MARGIN = 0.001, 0.02
 #: Fewer words fail the base rules, and say nothing of the ratio.
@@ -97,18 +100,34 @@ def ngram_buckets(words: Column, buckets: int) -> Column:
     return _let(words, both)
 
 
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id", rows: int = TRUSTED_ROWS) -> DataFrame:
-    """At most ``rows`` ids that ``labels`` marks as good quality, in hash order, and their folds."""
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """All ids that ``labels`` marks as good quality, and their folds."""
     ids = labels.where("quality = 1").select(quoted(id_col).alias("id")).where("id is not null").distinct()
-    return ids.orderBy(F.xxhash64("id"), "id").limit(rows).select("id", fold_of(F.col("id"), FOLDS).cast("int").alias("fold"))
+    return ids.select("id", fold_of(F.col("id"), FOLDS).cast("int").alias("fold"))
 
 
-def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int = BUCKETS) -> tuple[list[float], list[list[float]]]:
-    """N-grams by bucket: of all documents plus one, and of the trusted ones of each fold.
+def _bit_place(id_col: Column) -> tuple[Column, Column]:
+    """Row and bit of an id in the table of hash bits."""
+    h = F.xxhash64(id_col)
+    return h.bitwiseAND(F.lit(BIT_WORDS - 1)), F.call_function("shiftrightunsigned", h, F.lit(58)).cast("int")
+
+
+def sieved(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text and ``likely`` of every row; where that is false the id is not a trusted one."""
+    word, bit = _bit_place(F.col("id"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    bits = trusted.select(word.alias("word"), one.alias("one")).groupBy("word").agg(F.bit_or("one").alias("bits"))  # at most BIT_WORDS rows
+    rows = docs.select(quoted(id_col).cast(trusted.schema["id"].dataType).alias("id"), quoted(text_col).alias("text"))
+    found = F.coalesce(F.getbit("bits", bit) == 1, F.lit(False))
+    return rows.withColumn("word", word).join(F.broadcast(bits), "word", "left").select("id", "text", found.alias("likely"))
+
 
-    ``trusted`` is of bounded size and broadcast."""
-    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
-    marked = rows.join(F.broadcast(trusted), "id", "left")
+def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int = BUCKETS) -> tuple[list[float], list[list[float]]]:
+    """N-grams by bucket: of all documents plus one, and of the trusted ones of each fold."""
+    rows = sieved(docs, trusted, id_col, text_col)
+    # The hint keeps texts out of a sort; the trusted ids of one task are few.
+    near = rows.where("likely").join(trusted.hint("shuffle_hash"), "id", "left").select("fold", "text")
+    marked = near.unionByName(rows.where("not likely").select(F.lit(None).cast("int").alias("fold"), "text"))
     grams = marked.select("fold", F.explode(ngram_buckets(words_of(F.col("text")), buckets)).alias("bucket"))
     raw, good = [1.0] * buckets, [[0.0] * buckets for _ in range(FOLDS)]
     for r in grams.groupBy("bucket", "fold").agg(F.count(F.lit(1)).alias("n")).collect():  # at most `buckets` times FOLDS + 1 rows
@@ -131,11 +150,17 @@ def held_out_threshold(docs: DataFrame, trusted: DataFrame, id_col: str, text_co
     """The score that all but ``SPARED`` of the trusted documents of enough words exceed by
     ``MARGIN`` when each is scored without its fold's counts; minus ``MARGIN`` where there are none."""
     weights = [ratio_weights(raw, good[:k] + good[k + 1 :]) for k in range(FOLDS)]
-    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).join(F.broadcast(trusted), "id").select("fold", words_of(F.col("text")).alias("words"))
-    rows = rows.where(F.size("words") >= LEAST_WORDS)
     of_fold = _literal(weights, "array<array<double>>")
-    score = _let(F.get(of_fold, F.col("fold")), lambda table_of: mean_of(F.col("words"), table_of, len(raw)))
-    bins = rows.select(F.floor(score * 1000).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()  # thousandths of a log-ratio
+
+    def bin_of(words: Column) -> Column:
+        score = _let(F.get(of_fold, F.col("fold")), lambda table_of: mean_of(words, table_of, len(raw)))
+        return F.when(F.size(words) >= LEAST_WORDS, F.floor(score * 1000))  # thousandths of a log-ratio
+
+    rows = sieved(docs, trusted, id_col, text_col).where("likely").withColumn("fold", fold_of(F.col("id"), FOLDS).cast("int"))
+    scored = rows.select("id", _let(words_of(F.col("text")), bin_of).alias("bin"))
+    # An inner join: a semi-join would be pushed below the scores, and shuffle texts.
+    found = scored.join(trusted.select("id").hint("shuffle_hash"), "id").groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()
+    bins = [r for r in found if r["bin"] is not None]  # dropped here: a filter would be pushed down and score twice
     below, total = 0, sum(r["n"] for r in bins)
     for r in sorted(bins):
         below += r["n"]
@@ -146,7 +171,9 @@ def held_out_threshold(docs: DataFrame, trusted: DataFrame, id_col: str, text_co
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, buckets: int = BUCKETS, threshold: float | None = None) -> tuple[list[float], float]:
     """The weights and, where none is given, the threshold."""
-    trusted = persist(trusted_ids(labels, id_col), "trusted-ids")
+    ids = quoted(id_col)
+    kind = docs.select(ids).union(labels.select(ids)).schema[0].dataType  # equal ids of two types have equal hashes in one
+    trusted = persist(trusted_ids(labels.select(ids.cast(kind).alias(id_col), "quality"), id_col), "trusted-ids")
     raw, good = bucket_counts(docs, trusted, id_col, text_col, buckets)
     return ratio_weights(raw, good), held_out_threshold(docs, trusted, id_col, text_col, raw, good) if threshold is None else threshold
 

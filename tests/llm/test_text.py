@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from contactloom.llm import chat_format as chat
 from contactloom.llm import html_extract as web
@@ -148,6 +149,23 @@ def test_threshold_is_that_of_trusted_documents_without_their_fold(spark):
     assert rules.learn(docs, labels.limit(0), "doc_id", "text")[1] == -rules.MARGIN and rules.learn(docs, labels, "doc_id", "text", 64, -3.0)[1] == -3.0
 
 
+@pytest.mark.parametrize("words", [rules.BIT_WORDS, 1])  # one word of hash bits: every id has to be joined
+def test_every_trusted_document_counts(spark, monkeypatch, words):
+    monkeypatch.setattr(rules, "BIT_WORDS", words)
+    n, outside, odd = 21_000, 1_000, 40
+    ids = spark.range(n).orderBy(F.xxhash64("id").desc()).limit(odd).select(F.col("id").alias("odd_id"))
+    texts = F.when(F.col("odd_id").isNull(), F.lit("a b c d e f g h i j")).otherwise(F.lit("q r s t u v w x y z"))
+    docs = spark.range(n + outside).join(F.broadcast(ids), F.col("id") == F.col("odd_id"), "left").select(F.col("id").alias("doc_id"), texts.alias("text"))
+    labels = spark.range(n).select(F.col("id").cast("int").alias("doc_id"), F.lit(1).alias("quality"))
+    trusted = rules.trusted_ids(labels.select(F.col("doc_id").cast("long"), "quality"))
+    raw, good = rules.bucket_counts(docs, trusted, "doc_id", "text")
+    assert sum(map(sum, good)) == 19 * n and sum(raw) == 19 * (n + outside) + len(raw)
+    weights, threshold = rules.learn(docs, labels, "doc_id", "text")
+    assert weights == rules.ratio_weights(raw, good)
+    judged = docs.select("text", rules.mean_weight(rules.words_of(docs["text"]), weights).alias("s")).distinct().collect()
+    assert len(judged) == 2 and all(r["s"] >= threshold for r in judged)  # more than SPARED are odd, so they set it
+
+
 def test_rules_keep_clean_documents(spark):
     df = rules.op6_quality_rules(spark, DATA)
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
