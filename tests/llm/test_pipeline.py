@@ -1,5 +1,7 @@
 """The corpus pipeline, stage by stage."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from contactloom.llm.common import persist
 
@@ -25,3 +27,12 @@ def test_empty_and_null_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, DATA).count() >= 0
         assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_quality_stage_counts_every_trusted_document(spark, tmp_path):
+    n, odd = 21_000, 40
+    last = spark.range(n).orderBy(F.xxhash64("id").desc()).limit(odd).select(F.col("id").alias("odd_id"))
+    text = F.when(F.col("odd_id").isNull(), F.lit("a b c d e f g h i j")).otherwise(F.lit("q r s t u v w x y z"))
+    docs = spark.range(n).join(F.broadcast(last), F.col("id") == F.col("odd_id"), "left").select(F.col("id").alias("doc_id"), text.alias("text"))
+    spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).count() == n
